@@ -9,8 +9,6 @@ from graphloom.session import scratch_path
 from graphloom.sources.versioned import VersionedTable, list_files, positions
 from graphloom.tables import latest
 
-#: Levels of the dyadic decomposition of run ranges: commit numbers are int32.
-LEVELS = 31
 #: Hexadecimal signs of a shortened commit.
 SHORT = 12
 KEY = ["repo_id", "kind", "ref_id", "chunk"]
@@ -40,8 +38,11 @@ def covered_until(ranges: DataFrame, commits: DataFrame) -> DataFrame:
     Ranges are cut into dyadic blocks, at most two a level, and a commit looks its blocks up; so neither long ranges nor
     many runs of one repository meet in a task.
     """
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
-    cut = ranges.select("repo_id", "started_at", (F.col("from_seq") + 1).cast("bigint").alias("a"), (F.col("to_seq") + 1).cast("bigint").alias("b"), levels)
+
+    def levels(top):  # numbers start at 1, so no block above the highest bit is ever needed
+        return F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(top, F.lit(1)))).cast("int"))).alias("level")
+
+    cut = ranges.select("repo_id", "started_at", (F.col("from_seq") + 1).cast("bigint").alias("a"), (F.col("to_seq") + 1).cast("bigint").alias("b"), levels(F.col("to_seq") + 1))
     size = F.expr("shiftleft(1L, level)")
     l, r = F.ceil(F.col("a") / size), F.floor(F.col("b") / size)
     blocks = (
@@ -50,7 +51,7 @@ def covered_until(ranges: DataFrame, commits: DataFrame) -> DataFrame:
         .groupBy("repo_id", "level", "block").agg(F.max("started_at").alias("started_at"))
     )
     known = commits.groupBy("repo_id", "commit_id").agg(F.min("seq").alias("seq"))
-    looked = known.select("repo_id", "commit_id", "seq", levels).withColumn("block", F.expr("shiftright(CAST(seq AS BIGINT), level)"))
+    looked = known.select("repo_id", "commit_id", "seq", levels(F.col("seq"))).withColumn("block", F.expr("shiftright(CAST(seq AS BIGINT), level)"))
     return looked.join(blocks, ["repo_id", "level", "block"], "left").groupBy("repo_id", "commit_id", "seq").agg(F.max("started_at").alias("covered_until"))
 
 

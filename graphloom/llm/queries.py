@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import mixture, rank_fusion, spans, tokens
+from graphloom.llm import code_docs, handwritten, mixture, rank_fusion, spans, syntax, tokens
 from graphloom.tables import read
 
 
@@ -16,6 +17,39 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return rank_fusion.borda(read(spark, d, "candidate"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return code_docs.pairs(read(spark, d, "graph_node")).where(F.col("documented_at") == F.col("node_id")).select("node_id")
+
+
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return code_docs.pairs(read(spark, d, "graph_node"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(read(spark, d, "source_file")).where(F.col("edit_cost") > 0).select("file_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(read(spark, d, "source_file"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    files, _, _ = handwritten.judged(read(spark, d, "source_file"), read(spark, d, "upstream_file"))
+    return files.where(F.col("kind").isNotNull()).select("file_id")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files and mean score by kind, null for hand-written ones."""
+    files, _, _ = handwritten.judged(read(spark, d, "source_file"), read(spark, d, "upstream_file"))
+    return files.groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.round(F.avg("score"), 3).alias("mean_score"), F.max("copied").alias("most_copied"))
+
+
+def p4_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, precision and recall of the machine alone on repositories it has not seen."""
+    _, _, figures = handwritten.judged(read(spark, d, "source_file"), read(spark, d, "upstream_file"))
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(figures.items())], "figure string, value double")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(read(spark, d, "documents")).select("doc_id", "ids")
 
@@ -40,7 +74,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p8_ids, p8_offsets, p9_mixture, p9_shares, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pairs, p3_found, p3_rates, p4_found, p4_kinds, p4_validation, p8_ids, p8_offsets, p9_mixture, p9_shares, p10_found, p10_shared)}
 
 _RANKS = """
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, symbol_id ORDER BY retrieved_at DESC) AS rn FROM candidate) WHERE rn = 1),

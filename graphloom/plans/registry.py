@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import data_queries, graph_queries
+from graphloom.plans import data_queries, graph_queries, search_queries
 
-MODULES = [data_queries, graph_queries]
+MODULES = [data_queries, graph_queries, search_queries]
 
 
 def queries() -> dict:

@@ -36,7 +36,9 @@ _CODE = re.compile(
     r"|^\s*(?:return|raise|throw|defer|yield|await|import|using|package|print|exec|let|const|var|auto|new|pass|break|continue)\b(?:\s+[\w.\"'`({\[\-]+\S*)?(?:\s*\(.*)?\s*$|^\s*[\w.:!]+\(.*\)\s*[;,]?\s*$"
     r"|^\s*(?:[\"'\w\[\]{}().]+|[\"'].*[\"'])\s*,\s*$|^\s*[\[\](){},]+\s*$|^\s*\S+\s*=>\s*.*,?$|^\s*[.@]\w+\(.*$"
 )
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_TOKEN = re.compile(r"\w+(?:['’][^\W\d_]+)*")
+_CLOSE = re.compile(r"\s*\*+/\s*$")
+_RULE = frozenset(" *-=_#/~.!\t")
 _OPENING = re.compile(r"""\s*[rRuU]?(?P<q>\"{3}|'{3}|"|')""")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 
@@ -44,31 +46,42 @@ _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 def prose(text: str) -> str:
     """The sentences of a documentation text: comment marks, tags, directives, notes to self, placeholders, rules and
     disabled code are gone. A comment of which half the lines are code is disabled code altogether."""
-    text = _XML_PARAMETER.sub(" ", text)
+    if not text or text.isspace():
+        return ""
+    if "<" in text:
+        text = _XML_PARAMETER.sub(" ", text)
     kept, code, lines = [], 0, 0
     for raw in text.splitlines():
         line = raw
         while (bare := _MARKS.sub("", line, count=1)) != line and bare.strip() != line.strip():
             line = bare
-        line = re.sub(r"\s*\*+/\s*$", "", line)
-        if not line.strip(" *-=_#/~.!\t"):
+        if line.endswith("/"):
+            line = _CLOSE.sub("", line)
+        if _RULE.issuperset(line):
             continue
         lines += 1
         if _CODE.search(line):
             code += 1
         elif not (_DIRECTIVE.match(line) or _NOTE.match(line) or _TAG.match(line) or _PLACEHOLDER.match(line)):
-            kept.append(_XML.sub(" ", line).strip())
+            kept.append(_XML.sub(" ", line).strip() if "<" in line else line.strip())
     return "" if lines and 2 * code >= lines else "\n".join(k for k in kept if k)
 
 
 def words_besides(text: str, name: str) -> int:
     """Words of ``text`` apart from the function's name, written as identifier or as its words in a row."""
-    if name:
-        text = re.sub(rf"(?<!\w){re.escape(name)}(?!\w)(?:\(\))?", " ", text)
-        parts = [p for p in _CAMEL.findall(name) if not p.isdigit()]
-        if parts:
-            text = re.sub(r"(?<!\w)" + r"[\W_]+".join(map(re.escape, parts)) + r"(?!\w)", " ", text, flags=re.IGNORECASE)
-    return len(_WORD.findall(re.sub(r"\w*_\w*", " x ", text)))
+    if not text:
+        return 0
+    words = [w for w in _TOKEN.findall(text) if w != name and "_" not in w and not w.isdigit()]
+    parts = [p.lower() for p in _CAMEL.findall(name) if not p.isdigit()] if name else []
+    if len(parts) and parts[0] in (low := [w.lower() for w in words]):
+        k, i, kept = len(parts), 0, 0
+        while i < len(low):
+            if low[i : i + k] == parts:
+                i += k
+            else:
+                i, kept = i + 1, kept + 1
+        return kept
+    return len(words)
 
 
 def opening_docstring(body: str | None) -> str:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import data_queries, graph_queries, search_queries
+from graphloom.plans import data_queries, graph_queries, index_queries, retrieval_queries, search_queries
 
-MODULES = [data_queries, graph_queries, search_queries]
+MODULES = [data_queries, graph_queries, search_queries, retrieval_queries, index_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_queries.p5_edge_profile(spark, sf_dir)
+    return retrieval_queries.get_context_for_task(spark, sf_dir)

@@ -33,11 +33,17 @@ def postings(symbols: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("w.token").alias("token"), F.col("w.part").alias("part"), "symbol_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Lengths of the prefixes that join terms with words: a term uses the longest that it has.
+PREFIXES = (3, 6, 10)
+
+
 def prefix_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, token): dictionary words that begin with each term, by equi-join on the first three letters."""
-    dictionary = index.select("token").distinct().withColumn("p3", F.substring("token", 1, 3))
-    wanted = terms.where(F.length("term") >= T.LEAST_TOKEN).select("term").distinct().withColumn("p3", F.substring("term", 1, 3))
-    return wanted.join(dictionary, "p3").where(F.col("token").startswith(F.col("term"))).select("term", "token")
+    """(term, token): dictionary words that begin with each term, by equi-join on the longest prefix of fixed length."""
+    keys = F.array(*[F.when(F.length("token") >= n, F.substring("token", 1, n)) for n in PREFIXES])
+    dictionary = index.select("token").distinct().select("token", F.explode(F.array_compact(keys)).alias("prefix"))
+    longest = F.coalesce(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in reversed(PREFIXES)])
+    wanted = terms.where(F.length("term") >= T.LEAST_TOKEN).select("term").distinct().withColumn("prefix", longest)
+    return wanted.join(dictionary, "prefix").where(F.col("token").startswith(F.col("term"))).select("term", "token")
 
 
 def term_hits(index: DataFrame, terms: DataFrame, limit: int | None = S.LEXICAL_POOL) -> DataFrame:

@@ -9,12 +9,13 @@ from graphloom.functions import text as T
 from graphloom.operators import search, vector
 from graphloom.operators.graph import degrees
 from graphloom.plans.graph_queries import NODE, SYM, edge, sym
-from graphloom.tables import live_nodes, read
+from graphloom.session import checkpointed, spread
+from graphloom.tables import live_nodes, read, read_wide
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
     """Task texts: the issues among the documents, as (task_id, text, repo_id)."""
-    docs = read(spark, d, "documents").where(F.col("text").isNotNull() & (F.lower(F.trim("source")) == "issue"))
+    docs = read_wide(spark, d, "documents").where(F.col("text").isNotNull() & (F.lower(F.trim("source")) == "issue"))
     return docs.select(F.col("doc_id").alias("task_id"), "text", "repo_id")
 
 
@@ -87,7 +88,7 @@ def body_literals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(sym(spark, d))
+    return search.postings(spread(checkpointed(sym(spark, d))))
 
 
 def fts_build_postings(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def slots(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit of all salts and block counts."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over at least as many partitions as the cluster has cores, for work whose cost is not its bytes.
+
+    A scan that has them is left as it is, without a shuffle; this only helps tables of a few small files.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 SYMBOL_PROPERTIES = (
     "name STRING, kind STRING, signature STRING, visibility STRING, package STRING, namespace STRING, file_id STRING, "
     "line INT, end_line INT, is_test BOOLEAN, body STRING, docstring STRING, language STRING, path STRING, repo_id STRING, text STRING"
@@ -15,6 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs far more than its bytes: spread over all cores where its files are few."""
+    return spread(read(spark, sf_dir, name))
+
+
 def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """The row of each key with the greatest ``order``; ties fall to the greatest values, so repeated rows never change the result.
 

@@ -17,16 +17,16 @@ KEY = ["repo_id", "kind", "ref_id", "chunk"]
 def succeeded_ranges(runs: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo_id, from_seq, to_seq, started_at) of runs whose latest recorded state is a success.
 
-    Commits may be shortened to 12 signs. A null ``from_commit`` is the beginning; a run whose commits aren't known
+    Commits may be written whole or shortened to 12 signs. A null ``from_commit`` is the beginning; a run whose commits aren't known
     covers nothing. Repeated rows fold into one state.
     """
     state = latest(runs, ["run_id"], "recorded_at", ["status", "repo_id", "from_commit", "to_commit", "started_at"]).where(F.col("status") == "succeeded")
-    at = commits.groupBy("repo_id", F.substring("commit_id", 1, SHORT).alias("c")).agg(F.min("seq").alias("seq"))
-    start = at.select("repo_id", F.col("c").alias("_from"), F.col("seq").alias("from_seq"))
-    end = at.select("repo_id", F.col("c").alias("_to"), F.col("seq").alias("to_seq"))
-    short = state.withColumn("_from", F.substring("from_commit", 1, SHORT)).withColumn("_to", F.substring("to_commit", 1, SHORT))
+    names = F.explode(F.array_distinct(F.array("commit_id", F.substring("commit_id", 1, SHORT)))).alias("c")
+    at = commits.select("repo_id", "seq", names).groupBy("repo_id", "c").agg(F.min("seq").alias("seq"))
+    start = at.select("repo_id", F.col("c").alias("from_commit"), F.col("seq").alias("from_seq"))
+    end = at.select("repo_id", F.col("c").alias("to_commit"), F.col("seq").alias("to_seq"))
     return (
-        short.join(end, ["repo_id", "_to"]).join(start, ["repo_id", "_from"], "left")
+        state.join(end, ["repo_id", "to_commit"]).join(start, ["repo_id", "from_commit"], "left")
         .where(F.col("from_commit").isNull() | F.col("from_seq").isNotNull())
         .select("repo_id", F.coalesce("from_seq", F.lit(0)).alias("from_seq"), "to_seq", "started_at")
     )

@@ -29,9 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where it is unset."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
-        spark.conf.set("spark.checkpoint.dir", configured)
+    configured = configured or "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured)
     return configured

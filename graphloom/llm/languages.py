@@ -80,7 +80,7 @@ def _lexer(language: str) -> tuple:
         name = r"@?[^\W\d]\w*"
     if language == "rust":
         name = r"'[^\W\d]\w*(?!')|(?:r\#)?[^\W\d]\w*"
-    quote = r"[rRbBuUfF]{0,2}[\"']" if language == "python" else r"[\"'`@]"
+    quote = {"python": r"[rRbBuUfF]{0,2}[\"']", "csharp": r"[@$]{0,2}\"|'"}.get(language, r"[\"'`]")
     pattern = re.compile(
         rf"(?P<blank>[ \t\f\r\v\xa0﻿]+)|(?P<conflict>{_CONFLICT})|(?P<nl>\n)|(?P<comment>{comment})|(?P<string>{_STRINGS[language]})|(?P<broken>{broken}|{quote if language != 'rust' else chr(34)})"
         rf"|(?P<number>{_NUMBER}{_SUFFIX[language]}(?!\w))|(?P<name>{name})|(?P<op>{longest})|(?P<bad>[\s\S])"

@@ -29,7 +29,7 @@ def postings(symbols: DataFrame) -> DataFrame:
         return F.transform(column, lambda t: F.struct(F.lit(part).alias("part"), t.alias("token")))
 
     all_words = F.concat(*[marked(p, w) for p, w in by.items()])
-    rows = symbols.select("symbol_id", F.size(all_words).alias("doc_len"), F.explode(all_words).alias("w")).where((F.length("w.token") >= T.LEAST_TOKEN))
+    rows = symbols.select("symbol_id", all_words.alias("words")).select("symbol_id", F.size("words").alias("doc_len"), F.explode("words").alias("w")).where(F.length("w.token") >= T.LEAST_TOKEN)
     return rows.groupBy(F.col("w.token").alias("token"), F.col("w.part").alias("part"), "symbol_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -9,6 +9,7 @@ from graphloom.operators import indexing, linking
 from graphloom.operators.references import package_of
 from graphloom.plans.graph_queries import EDGE, NODE, SYM, edge, sym
 from graphloom.plans.retrieval_queries import churn_of
+from graphloom.plans.search_queries import _TESTPATH
 from graphloom.sources import parse, scan
 from graphloom.streaming import jobs
 from graphloom.tables import latest, live_nodes, read
@@ -193,6 +194,7 @@ ORACLE = {
     "job_fsm_state": f"WITH {_STATE} SELECT run_id, recorded_at, status, repo_id, started_at, finished_at FROM state",
     "job_claim_oldest": f"WITH {_STATE}, d AS (SELECT repo_id, max(started_at) AS done_at FROM state WHERE status = 'succeeded' GROUP BY repo_id) SELECT repo_id, run_id, started_at FROM (SELECT s.*, row_number() OVER (PARTITION BY s.repo_id ORDER BY s.started_at, s.run_id) AS r FROM state s LEFT JOIN d USING (repo_id) WHERE s.status = 'running' AND (d.done_at IS NULL OR s.started_at > d.done_at)) WHERE r = 1",
     "repo_watermark": f"WITH {_STATE} SELECT s.repo_id, max(c.seq) AS seq, arg_max(c.commit_id, c.seq) AS commit_id FROM state s JOIN repo_commit c ON c.repo_id = s.repo_id AND substr(c.commit_id, 1, 12) = substr(s.to_commit, 1, 12) WHERE s.status = 'succeeded' GROUP BY s.repo_id",
+    "delete_file_subgraph": f"""WITH {SYM}, gone AS (SELECT node_id AS file_id FROM node WHERE label = 'File' AND {_TESTPATH.format("regexp_replace(node_id, '^[^:]*:', '')")}) SELECT symbol_id, file_id FROM sym WHERE file_id IS NULL OR file_id NOT IN (SELECT file_id FROM gone)""",
     "snapshot_diff": "SELECT 'A' AS status, count(DISTINCT file_id) AS n FROM source_file WHERE file_id NOT IN (SELECT file_id FROM source_file WHERE scanned_at < TIMESTAMP '2024-07-01 00:00:00') HAVING count(*) > 0",
     "event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "incremental_merge": f"WITH {NODE} SELECT label, node_id, changed_at, repo_id FROM node",

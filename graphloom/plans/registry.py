@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import data_queries, graph_queries, index_queries, retrieval_queries, search_queries
+from graphloom.plans import data_queries, graph_queries, index_queries, lookup_queries, retrieval_queries, search_queries
 
-MODULES = [data_queries, graph_queries, search_queries, retrieval_queries, index_queries]
+MODULES = [data_queries, graph_queries, search_queries, retrieval_queries, index_queries, lookup_queries]
 
 
 def queries() -> dict:

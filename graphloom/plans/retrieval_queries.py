@@ -288,6 +288,31 @@ ORACLE = {
         h AS (SELECT tru.task_id, k.k, tru.n_truth, s.n, count(r.rank) AS hits, min(r.rank) AS first FROM tru CROSS JOIN k JOIN s USING (task_id) LEFT JOIN ranked r ON r.task_id = tru.task_id AND r.ref_kind = 'define' AND r.rank <= k.k GROUP BY ALL), x AS (SELECT *, hits / n_truth AS re, hits / least(k, n) AS pr FROM h)
         SELECT task_id, k, hits, round(re, 6) AS recall, round(pr, 6) AS precision, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, round(coalesce(1 / first, 0), 6) AS reciprocal_rank, hits > 0 AS hit FROM x""",
 }
+_WALK = """walked AS (SELECT task_id, symbol_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY strength DESC, symbol_id) AS k FROM strong WHERE strength >= 0.3) WHERE k <= 20)"""
+
+
+def _hop_sql(name: str, frontier: str, direction: str, without: str = "") -> str:
+    labels, given, found = graph.DIRECTIONS[direction]
+    inside = ", ".join(f"'{x}'" for x in labels)
+    skip = f" WHERE NOT EXISTS (SELECT 1 FROM ({without}) z WHERE z.task_id = q.task_id AND z.symbol_id = q.symbol_id)" if without else ""
+    return f"{name} AS (SELECT * FROM (SELECT f.task_id, e.{found} AS symbol_id, round(arg_min(f.strength, f.symbol_id) * 0.6::DOUBLE, 6) AS strength, arg_min(e.ref_kind, f.symbol_id) AS ref_kind FROM {frontier} f JOIN edge e ON e.{given} = f.symbol_id AND e.label IN ({inside}) GROUP BY f.task_id, e.{found}) q{skip})"
+
+
+ORACLE["expand_hops"] = f"""WITH {SYM}, {EDGE}, {_C}, {_STRONG}, {_WALK}, {_hop_sql('h1', 'walked', 'callers', 'SELECT task_id, symbol_id FROM walked')}, {_hop_sql('h2', 'h1', 'callers', 'SELECT task_id, symbol_id FROM walked UNION ALL SELECT task_id, symbol_id FROM h1')},
+  {", ".join(_hop_sql(f'h_{x}', 'walked', x) for x in ('callees', 'referrers', 'references', 'supertypes', 'subtypes'))}, sib AS (WITH w AS ({ORACLE['siblings_same_file'].split('w AS (', 1)[1]}),
+  u AS (SELECT task_id, symbol_id, strength, NULL AS ref_kind, 0 AS rule, 0 AS d FROM strong UNION ALL SELECT task_id, symbol_id, strength, NULL, 1, 1 FROM h1 UNION ALL SELECT task_id, symbol_id, strength, NULL, 2, 2 FROM h2 UNION ALL SELECT task_id, symbol_id, strength, NULL, 3, 1 FROM h_callees UNION ALL SELECT task_id, symbol_id, strength, ref_kind, 4, 1 FROM h_referrers
+    UNION ALL SELECT task_id, symbol_id, strength, NULL, 5, 1 FROM h_references UNION ALL SELECT task_id, symbol_id, strength, NULL, 6, 1 FROM h_supertypes UNION ALL SELECT task_id, symbol_id, strength, NULL, 7, 1 FROM h_subtypes UNION ALL SELECT task_id, symbol_id, strength, NULL, 8, 1 FROM sib)
+  SELECT task_id, symbol_id, min(d) AS distance, bool_or(rule = 0) AS is_anchor, max(CASE WHEN rule = 0 THEN strength ELSE 0.0 END) AS anchor_strength, max(strength) AS source_strength, max(ref_kind) AS ref_kind FROM u SEMI JOIN sym USING (symbol_id) GROUP BY task_id, symbol_id"""
+ORACLE["anchors_usage"] = f"""WITH {SYM}, {_ISSUE}, bt AS (SELECT DISTINCT task_id, unnest(regexp_extract_all({_NOURL.format('text')}, '{_W}', 1)) AS word FROM issue),
+  tw AS (SELECT * FROM bt WHERE length(word) >= 4 AND {_low('word')} NOT IN ({_STOP}) AND (regexp_matches(word, '[^_]_[^_]') OR regexp_matches(word, '[0-9]') OR regexp_matches(word, '[a-z][A-Z]') OR regexp_matches(word, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$'))),
+  b AS (SELECT symbol_id, unnest(list_distinct(regexp_extract_all(coalesce(search_text, ''), '([A-Za-z_][A-Za-z0-9_]*)', 1))) AS word FROM sym WHERE NOT is_test), f AS (SELECT word, symbol_id, count(*) OVER (PARTITION BY word) AS n FROM b SEMI JOIN tw USING (word))
+  SELECT task_id, symbol_id, round(least(1 - exp(sum(ln(1 - 0.8::DOUBLE * sqrt(1 - n / 60)))), 0.8), 6) AS strength FROM tw JOIN f USING (word) WHERE n < 60 GROUP BY task_id, symbol_id"""
+ORACLE["selector_policy"] = f"""WITH {_SCORED}, sel AS (SELECT * FROM ranked WHERE rank <= 20 AND file_id IS NOT NULL), g AS (SELECT task_id, file_id, min(rank) AS first, max(coalesce(source_strength, 0)) AS relevance FROM sel GROUP BY task_id, file_id),
+  p AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first, file_id) AS pos, relevance >= 0.5 AS full_tier FROM g), n AS (SELECT *, count(*) FILTER (WHERE full_tier) OVER (PARTITION BY task_id) AS nf, row_number() OVER (PARTITION BY task_id, full_tier ORDER BY relevance DESC, pos) AS r FROM p)
+  SELECT task_id, file_id, pos, relevance, CASE WHEN full_tier THEN 'full' WHEN relevance >= 0.25 AND nf + r <= 6 OR pos = 1 THEN 'stub' ELSE 'dropped' END AS tier FROM n"""
+ORACLE["win_tie_loss"] = f"""WITH {_SCORED}, k AS (SELECT unnest([5, 10, 20]) AS k), tru AS (SELECT task_id, count(*) AS n_truth FROM cand WHERE ref_kind = 'define' GROUP BY task_id), sg AS (SELECT task_id, symbol_id, ref_kind, row_number() OVER (PARTITION BY task_id ORDER BY task_signal DESC NULLS LAST, symbol_id) AS rank FROM cand),
+  x AS (SELECT tru.task_id, k.k, round((SELECT count(*) FROM ranked r WHERE r.task_id = tru.task_id AND r.ref_kind = 'define' AND r.rank <= k.k) / n_truth, 6) AS a, round((SELECT count(*) FROM sg r WHERE r.task_id = tru.task_id AND r.ref_kind = 'define' AND r.rank <= k.k) / n_truth, 6) AS b FROM tru CROSS JOIN k)
+  SELECT k, count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a = b) AS ties, count(*) FILTER (WHERE a < b) AS losses FROM x GROUP BY k"""
 _COVERAGE = f"""WITH {SYM}, {EDGE}, {_SCORED}, {_STRONG}, {_SEMANTIC}, {_IMPACT}, {_NOISY}, a AS (SELECT *, len(string_split(sources, ',')) >= 2 OR contains(sources, 'explicit') AS corr FROM noisy),
   tot AS (SELECT task_id, count(*) AS anchor_count, count(*) FILTER (WHERE strength >= 0.6) AS strong_anchor_count, count(*) FILTER (WHERE corr) AS corroborated_anchor_count, CAST(bool_or(contains(sources, 'explicit')) AS INTEGER) + CAST(bool_or(contains(sources, 'semantic')) AS INTEGER) + CAST(bool_or(contains(sources, 'impact')) AS INTEGER) AS source_count FROM a GROUP BY task_id),
   x AS (SELECT r.task_id, r.rank, r.score, r.graph_distance, r.provenance, coalesce(r.degree, 0) AS degree, coalesce(r.is_test, FALSE) AS is_test, r.repo_id, a.strength, a.corr, coalesce(a.strength >= 0.6 OR a.corr, FALSE) AS trusted FROM ranked r LEFT JOIN a USING (task_id, symbol_id) WHERE r.rank <= 20),

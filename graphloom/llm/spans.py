@@ -121,7 +121,7 @@ def repeated_bitmap(texts: DataFrame, width: int, length: int, window: int) -> l
 
     merged = texts.select("text").mapInArrow(sketch, "r int, s int, c binary").groupBy("r", "s").applyInPandas(merge, "r int, s int, bits binary")
     out = [bytearray(width // 8) for _ in range(depth)]
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # DEPTH * width / 8 bytes, 8 MB at most
         out[row["r"]][row["s"] * segment // 8 : (row["s"] + 1) * segment // 8] = row["bits"]
     return [bytes(x) for x in out]
 

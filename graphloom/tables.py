@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import spread
+from graphloom.session import ship, spread
 
 SYMBOL_PROPERTIES = (
     "name STRING, kind STRING, signature STRING, visibility STRING, package STRING, namespace STRING, file_id STRING, "
@@ -14,6 +14,7 @@ SYMBOL_PROPERTIES = (
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -198,10 +198,16 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(lexical, semantic, degrees(edge(spark, d)))
 
 
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the issues with the code words of Turkish ones."""
+    words = spark.createDataFrame(sorted(search.EQUIVALENTS.items()), "stem string, word string")
+    return search.with_equivalents(content_tokens(spark, d), words)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        resolve_symbol, resolve_symbols_bulk, symbols_in_files, symbols_at_lines, is_test_symbol, conventional_tests, tokens_urls_stripped, split_identifier, content_tokens, phrase_pairs, identifier_tokens, qualified_references,
+        resolve_symbol, resolve_symbols_bulk, symbols_in_files, symbols_at_lines, is_test_symbol, conventional_tests, tokens_urls_stripped, split_identifier, content_tokens, query_terms, phrase_pairs, identifier_tokens, qualified_references,
         file_mentions, body_literals, fts_build_postings, fts_prefix_search, fts_search_many_topn, anchors_lexical, body_mentions_ident, body_mentions_literal, path_suffix_lookup, missing_paths, directory_neighbours,
         basename_wildcard, knn_cosine, knn_filtered, chunk_collapse, hashing_embed, hybrid_search,
     )
@@ -246,6 +252,8 @@ ORACLE = {
     "tokens_urls_stripped": f"WITH {_TOKENS} SELECT doc_id, token FROM tok",
     "split_identifier": f"WITH {SYM}, n AS (SELECT DISTINCT name FROM sym), p AS (SELECT name, {_split('name')} AS parts FROM n) SELECT name, unnest(range(len(parts))) AS position, unnest(parts) AS part FROM p",
     "content_tokens": f"WITH {_CONTENT} SELECT task_id, term FROM content",
+    "query_terms": f"""WITH {_CONTENT}, voc(stem, word) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(search.EQUIVALENTS.items()))}), m AS (SELECT DISTINCT c.term, v.stem, v.word FROM (SELECT DISTINCT term FROM content) c JOIN voc v ON c.term = v.stem OR (length(v.stem) >= 4 AND starts_with(c.term, v.stem) AND regexp_matches(substr(c.term, length(v.stem) + 1), '{search.SUFFIX_CHAIN}'))),
+        b AS (SELECT term, word FROM (SELECT *, rank() OVER (PARTITION BY term ORDER BY length(stem) DESC) AS k FROM m) WHERE k = 1) SELECT task_id, term FROM content UNION SELECT task_id, word FROM content JOIN b USING (term)""",
     "identifier_tokens": f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS n_docs FROM tok WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP}) AND (regexp_matches(token, '[^_]_[^_]') OR regexp_matches(token, '[0-9]') OR regexp_matches(token, '[a-z][A-Z]') OR (regexp_matches(token, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') AND length(token) >= 4)) GROUP BY token",
     "phrase_pairs": f"""WITH {_ISSUE}, t AS (SELECT task_id, regexp_extract_all({_NOURL.format('text')}, '{_W}', 1) AS w FROM issue), f AS (SELECT task_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM t), u AS (SELECT task_id, token, min(i) AS i FROM f GROUP BY task_id, token),
         k AS (SELECT task_id, {_low('token')} AS term, i FROM u WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP})), p AS (SELECT task_id, term, lead(term) OVER (PARTITION BY task_id ORDER BY i) AS nxt FROM k) SELECT DISTINCT task_id, term || ' ' || nxt AS phrase FROM p WHERE nxt IS NOT NULL AND term <> nxt""",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.heavy_keys import heavy_keys, salted_pair
-from graphloom.session import checkpointed, slots
+from graphloom.session import checkpointed
 
 #: Least shared span in code points.
 LENGTH = 160
@@ -29,6 +29,9 @@ DEPTH, SEGMENT = 4, 1 << 16
 #: Counters of a sketch row at most (2 MB of the broadcast bitmap a row); from 8 windows a counter on, more pass than need be.
 WIDEST = 1 << 24
 
+#: Code points hashed at once.
+TOGETHER = 1 << 18
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -52,9 +55,13 @@ def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def window_hashes(text: str, window: int) -> np.ndarray:
     """64-bit hash of every window of ``window`` code points, from prefix sums modulo 2^64."""
-    points = _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    points = _mixed(_points(text).astype(np.uint64) + np.uint64(1))
     if len(points) < window:
         return np.zeros(0, np.uint64)
     up, down = _power_arrays(len(points) + 1)
@@ -76,15 +83,47 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 def picked(text: str, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the windows that are least in some ``length`` code points; equal least ones are all picked."""
-    if len(text) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = window_hashes(text, window)
+    _, at, h = picked_of([text], length, window)
+    return at, h
+
+
+def picked_of(texts: list[str], length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, position, hash) of the picked windows of several texts, charted as one array.
+
+    Stretches of ``length`` that reach over the end of a text count for none of its windows, so every text has what it has alone.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    joined = "".join(texts)
+    if len(joined) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = window_hashes(joined, window)
     width = length - window + 1
     low = _sliding(h, width, True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    inside = np.zeros(len(joined) + 1, np.int64)  # 1 where a whole stretch of its text begins
+    whole = sizes >= length
+    np.add.at(inside, starts[whole], 1)
+    np.add.at(inside, ends[whole] - length + 1, -1)
+    low = np.where(np.cumsum(inside)[: len(low)] > 0, low, np.uint64(0))
     pad = np.zeros(width - 1, np.uint64)
     reach = _sliding(np.concatenate([pad, low, pad]), width, False)
-    at = np.flatnonzero(reach == h)
-    return at, h[at]
+    at = np.flatnonzero((reach == h) & (h > 0))
+    of = np.searchsorted(ends, at, "right")
+    return of, at - starts[of], h[at]
+
+
+def _groups(texts: list[str]) -> list[list[int]]:
+    """Numbers of the texts, in runs of about ``TOGETHER`` code points; a longer text is a run of its own."""
+    out: list[list[int]] = [[]]
+    size = 0
+    for i, t in enumerate(texts):
+        if out[-1] and size + len(t) > TOGETHER:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += len(t)
+    return out
 
 
 def _buckets(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -103,8 +142,12 @@ def repeated_bitmap(texts: DataFrame, width: int, length: int, window: int) -> l
     def sketch(batches):
         rows = np.zeros((depth, width), np.uint8)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                own = np.unique(picked(text, length, window)[1])  # within one text a window counts once
+            texts = b.column(0).to_pylist()
+            for group in _groups(texts):
+                of, _, h = picked_of([texts[i] for i in group], length, window)
+                order = np.lexsort((h, of))  # within one text a window counts once
+                of, h = of[order], h[order]
+                own = h[np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1]))[: len(h)]]
                 for r in range(depth):
                     at, n = np.unique(_buckets(own, r, width), return_counts=True)
                     rows[r, at] = np.minimum(rows[r, at] + np.minimum(n, 2), 2).astype(np.uint8)
@@ -152,19 +195,20 @@ def links(documents: DataFrame, members: DataFrame, length: int = LENGTH, window
     def second(batches):
         bits = [np.frombuffer(x, np.uint8) for x in bitmap.value]
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, h = picked(text, length, window)
+            ids, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for group in _groups(contents):
+                of, at, h = picked_of([contents[i] for i in group], length, window)
                 keep = np.ones(len(h), bool)
                 for r in range(DEPTH):
                     k = _buckets(h, r, width)
                     keep &= (bits[r][k >> 3] >> (k & 7) & 1).astype(bool)
-                at, h = at[keep], h[keep]
+                of, at, h = of[keep], at[keep], h[keep]
                 for j in range(0, len(at), 4096):
-                    p = at[j : j + 4096]
+                    places = [(group[t], x) for t, x in zip(of[j : j + 4096].tolist(), at[j : j + 4096].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(h[j : j + 4096].view(np.int64)), pa.array(np.full(len(p), i), pa.int64()), pa.array(p, pa.int64()),
-                            pa.array([text[max(0, x - context) : x][::-1] for x in p.tolist()]), pa.array([text[x : x + length] for x in p.tolist()]),
+                            pa.array(h[j : j + 4096].view(np.int64)), pa.array([ids[i] for i, _ in places], pa.int64()), pa.array(at[j : j + 4096], pa.int64()),
+                            pa.array([contents[i][max(0, x - context) : x][::-1] for i, x in places], pa.string()), pa.array([contents[i][x : x + length] for i, x in places], pa.string()),
                         ],
                         ["h", "id", "pos", "before", "after"],
                     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from graphloom.llm.chart import Grammar
+from graphloom.llm.chart import Grammar, SharedChart
 
 #: Language of a file by the suffix of its path.
 SUFFIXES = {
@@ -35,7 +35,6 @@ _WORDS = {
 _WORDS["typescript"] = _WORDS["javascript"] + " interface type enum namespace declare abstract readonly implements public private protected keyof infer is satisfies module"
 
 # Operators: those only ever between operands are BOP, assigning ones ASG, all others tokens of their own.
-_C_BINARY = "== != <= >= && || / % ^ | <<"
 _BINARY = {
     "python": "== != <= >= // / % | & ^ << >> < >", "javascript": "=== !== == != <= && || ?? / % ^ | << ** &", "java": "== != <= >= && || / % ^ | <<", "go": "== != <= >= && || / % | << >> &^", "rust": "== != <= / % ^ <<",
     "csharp": "== != <= && || ?? / % ^ | <<", "cpp": "== != <= || / % ^ | << <=>",
@@ -573,3 +572,9 @@ def grammar(language: str) -> Grammar:
         tokens = {*_WORDS["rust"].split(), *_OTHER["rust"].split()} - set("()[]{}")
         return Grammar(_RUST % {"TOKENS": " | ".join(f"'{t}'" for t in sorted(tokens))})
     return Grammar({"java": _JAVA, "csharp": _CSHARP, "cpp": _CPP}[language])
+
+
+@lru_cache(maxsize=None)
+def shared_chart(language: str) -> SharedChart:
+    """The worker's chart of a language, filled by all texts that it reads."""
+    return SharedChart(grammar(language))

@@ -49,6 +49,29 @@ def truth_stages(truth: DataFrame, pool: DataFrame, returned: DataFrame) -> Data
     return x.groupBy(F.coalesce("channel", F.lit("none")).alias("channel")).agg(*[F.count(F.when(stage == s, 1)).alias(s) for s in stages])
 
 
+def clean_text(text):
+    """A change request's text without zero-width signs and Markdown escapes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "[\u200b-\u200f\u2060\ufeff]", ""), r"\\([\\`*_{}\[\]()#+.!>~|-])", "$1"))
+
+
+def task_variants(specs: DataFrame) -> DataFrame:
+    """(spec_id, variant, text): each change request (spec_id, title, description) with its description and by its title alone."""
+    title, rest = clean_text(F.coalesce("title", F.lit(""))), clean_text(F.coalesce("description", F.lit("")))
+    both = F.array(F.struct(F.lit("full").alias("variant"), F.concat_ws("\n\n", F.nullif(title, F.lit("")), F.nullif(rest, F.lit(""))).alias("text")), F.struct(F.lit("title").alias("variant"), title.alias("text")))
+    return specs.select("spec_id", F.explode(both).alias("v")).select("spec_id", "v.variant", "v.text").where(F.length("text") > 0)
+
+
+def text_bucket(identifiers):
+    """Whether a task's text names code or is prose only."""
+    return F.when(F.size(F.coalesce(identifiers, F.array().cast("array<string>"))) > 0, "names_code").otherwise("prose_only")
+
+
+def replayed(stored: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
+    """Metrics of stored answers (task_id, symbol_ids in order), scored anew without retrieving again."""
+    ranked = stored.select("task_id", F.posexplode("symbol_ids").alias("p", "symbol_id")).groupBy("task_id", "symbol_id").agg((F.min("p") + 1).alias("rank"))
+    return metrics(ranked, truth, ks)
+
+
 def nearest_rank(values, share: float):
     """The value at the rounded rank of a percentile of a sorted array, halves to even."""
     return F.element_at(values, (F.bround(F.lit(share) * (F.size(values) - 1), 0) + 1).cast("int"))

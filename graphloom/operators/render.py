@@ -44,6 +44,32 @@ def evidence(items: DataFrame, spans: int = 3, budget: int = 4000) -> DataFrame:
     return x.withColumn("s", _spans("body", "line", F.lit(budget))).select("task_id", "slot", "file_id", "s.first", "s.last", "s.digest", "s.text")
 
 
+def outlined(text: str | None, spans: list[tuple[int, int]], head: int = 1) -> str:
+    """A file's text with the inside of each (first, last) span folded to a marker after its first ``head`` lines."""
+    lines = (text or "").split("\n")
+    out, at = [], 1
+    for first, last in sorted(set(spans)):
+        if first < at or first + head > last:
+            continue
+        out += lines[at - 1 : first - 1 + head]
+        out.append(f"… {first + head}-{last}")
+        at = last + 1
+    return "\n".join(out + lines[at - 1 :])
+
+
+@F.pandas_udf(T.StringType())
+def _outline(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([outlined(t, [(int(x["s"]), int(x["e"])) for x in s] if s is not None else []) for t, s in zip(texts, spans)])
+
+
+def outlines(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, outline): each file (file_id, source) with the bodies of its symbols folded; nested ones fold with the outer."""
+    spans = symbols.where(F.col("line").isNotNull() & F.col("end_line").isNotNull() & F.col("kind").isin("function", "method")).groupBy("file_id").agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("s"), F.col("end_line").alias("e")))).alias("spans"))
+    text = F.regexp_replace(F.col("source").cast("string"), "\r\n", "\n")
+    once = files.groupBy("file_id").agg(F.max("source").alias("source"))
+    return once.join(spans, "file_id", "left").select("file_id", _outline(text, "spans").alias("outline"))
+
+
 def questions(groups: DataFrame) -> DataFrame:
     """(task_id, file_id, question): what a selector is asked about each file, as JSON with sorted keys."""
     return groups.select("task_id", "file_id", F.to_json(F.struct("best_score", "file_id", "n_symbols", "names", "pos")).alias("question"))

@@ -103,6 +103,29 @@ def inspect_symbol_graph(spark: SparkSession, d: str) -> DataFrame:
     return render.inspected(read(spark, d, "library_symbol"), sym(spark, d), edge(spark, d))
 
 
+def file_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Length of every file and of its outline with folded bodies."""
+    files = read_wide(spark, d, "source_file").select("file_id", "source")
+    return render.outlines(files, sym(spark, d)).select("file_id", F.length("outline").alias("n_chars"))
+
+
+def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    from graphloom.operators import pack
+    from graphloom.plans.index_queries import index_coverage
+
+    return pack.coverage_gaps(R._selected(spark, d).select("task_id", "symbol_id", "repo_id"), R.related_tests(spark, d), index_coverage(spark, d))
+
+
+def task_text_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Issues that name code and issues of prose only."""
+    from graphloom.functions import text as T
+    from graphloom.operators.evaluation import text_bucket
+    from graphloom.plans.search_queries import issues
+
+    names = F.filter(T.tokens(F.col("text")), lambda t: T.looks_like_identifier(t))
+    return issues(spark, d).groupBy(text_bucket(names).alias("bucket")).agg(F.count(F.lit(1)).alias("n_tasks"))
+
+
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     """Index figures of each repository as JSON."""
     from graphloom.plans.index_queries import index_census
@@ -127,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         resolve_query, resolve_repo_ids, normalize_file_ids, row_level_security, repo_graph, node_neighbors, search_names_paths, file_imports, file_importers, select_repos, suggest_change_sites, context_trace, evidence_spans,
-        selector_questions, render_compact, inspect_symbol_graph, index_stats, churn_filled, reference_queries,
+        selector_questions, render_compact, inspect_symbol_graph, index_stats, churn_filled, reference_queries, file_outlines, coverage_gaps, task_text_buckets,
     )
 }
 

@@ -110,3 +110,17 @@ def test_metrics(spark):
     rows = {r["task_id"]: r for r in got.collect()}
     assert (rows["t"]["recall"], rows["t"]["precision"], rows["t"]["reciprocal_rank"]) == (0.5, round(2 / 3, 6), 0.5)
     assert (rows["u"]["recall"], rows["u"]["precision"], rows["u"]["hit"]) == (0.0, 0.0, False)
+
+
+def test_variants_and_replay(spark):
+    specs = spark.createDataFrame([(1, "Fix \\_it\\_", "a\u200bb"), (2, "T", None)], "spec_id int, title string, description string")
+    assert sorted(map(tuple, evaluation.task_variants(specs).collect())) == [(1, "full", "Fix _it_\n\nab"), (1, "title", "Fix _it_"), (2, "full", "T"), (2, "title", "T")]
+    got = evaluation.replayed(spark.createDataFrame([("t", ["x", "b", "a", "x"])], "task_id string, symbol_ids array<string>"), spark.createDataFrame([("t", "a")], "task_id string, symbol_id string"), [2, 3]).collect()
+    assert {(r["k"], r["recall"], r["reciprocal_rank"]) for r in got} == {(2, 0.0, 0.0), (3, 1.0, round(1 / 3, 6))}
+
+
+def test_outline_folds_bodies():
+    from graphloom.operators.render import outlined
+
+    assert outlined("a\ndef f():\n  1\n  2\nb", [(2, 4)]) == "a\ndef f():\n… 3-4\nb"
+    assert outlined(None, []) == "" and outlined("x", [(1, 1)]) == "x"

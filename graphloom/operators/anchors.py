@@ -17,7 +17,7 @@ USAGE_POOL, IMPACT_LEAST, IMPACT_ROOTS = 60, 0.9, 5
 def references_of(tasks: DataFrame) -> DataFrame:
     """(task_id, container, name): qualified references and bare identifiers of task texts; a name written qualified isn't also bare."""
     q = tasks.select("task_id", F.explode(T.qualified_references(F.col("text"))).alias("r")).withColumn("p", F.split(F.regexp_replace("r", "[.:]+", "."), "[.]"))
-    qualified = q.select("task_id", F.element_at("p", -2).alias("container"), F.element_at("p", -1).alias("name"))
+    qualified = q.select("task_id", F.try_element_at("p", F.lit(-2)).alias("container"), F.element_at("p", -1).alias("name"))
     bare = tasks.select("task_id", F.explode(T.tokens(F.col("text"))).alias("name")).where(T.looks_like_identifier(F.col("name")))
     bare = bare.join(qualified.select("task_id", "name").distinct(), ["task_id", "name"], "left_anti").select("task_id", F.lit(None).cast("string").alias("container"), "name")
     return qualified.unionByName(bare).where(T.is_content(T.lower(F.col("name")))).distinct()
@@ -33,7 +33,7 @@ def explicit(tasks: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame
     refs = references_of(tasks).withColumn("ref", F.xxhash64("container", "name"))
     segments = F.split(F.split("symbol_id", "#")[0], "::")
     path_words = T.split_identifier(F.regexp_replace(F.regexp_replace(F.coalesce("file_id", F.lit("")), r"^[^:]*:", ""), r"\.[^./]*$", ""))
-    s = symbols.select("name", "symbol_id", F.lower("kind").isin(S.DECLARING_KINDS).alias("declares"), F.element_at(segments, -2).alias("inside"), path_words.alias("words"))
+    s = symbols.select("name", "symbol_id", F.lower("kind").isin(S.DECLARING_KINDS).alias("declares"), F.try_element_at(segments, F.lit(-2)).alias("inside"), path_words.alias("words"))
     m = refs.join(s, "name").join(tasks.select("task_id", T.content_tokens(F.col("text")).alias("hints")), "task_id")
     m = m.withColumn("inside_it", F.col("container").isNotNull() & (F.col("inside") == F.col("container")))
     m = m.withColumn("hinted", F.arrays_overlap(F.array_except("hints", F.concat(T.split_identifier(F.col("name")), F.array(F.lower("name")))), "words"))

@@ -69,14 +69,14 @@ def new_or_changed(spark, chunks_path: str, runs: DataFrame, commits: DataFrame)
     all_rows = spark.read.parquet(chunks_path)
     if not files:
         return all_rows
-    until = covered_until(succeeded_ranges(runs, commits), commits).select("repo_id", F.col("commit_id").alias("indexed_at_commit"), "seq", "covered_until")
-    seen = F.coalesce(F.col("queued_at") < F.col("covered_until"), F.lit(False))
+    until = covered_until(succeeded_ranges(runs, commits), commits).select("repo_id", F.col("commit_id").alias("indexed_at_commit"), F.col("seq").alias("_seq"), F.col("covered_until").alias("_until"))
+    seen = F.coalesce(F.col("queued_at") < F.col("_until"), F.lit(False))
     marks = positions(all_rows).select("repo_id", "indexed_at_commit", "queued_at", "_file", "_pos").join(until, ["repo_id", "indexed_at_commit"], "left")
     done = table.adopt(files, [table.write_vectors(marks.where(~seen).select("_file", "_pos"))])
     now = table.adopt(files)
     delta = table.changes(done.version, now.version).where(F.col("_change") == "insert").drop("_change", "_file", "_pos")
-    covered = table.rows(done.version).join(until.select("repo_id", "indexed_at_commit", "seq"), ["repo_id", "indexed_at_commit"], "left")
-    newest = covered.groupBy(*KEY).agg(F.max(F.struct("seq", "queued_at", "pending_id", "content")).alias("_c"))
+    covered = table.rows(done.version).select(*KEY, "indexed_at_commit", "queued_at", "pending_id", "content").join(until.select("repo_id", "indexed_at_commit", "_seq"), ["repo_id", "indexed_at_commit"], "left")
+    newest = covered.groupBy(*KEY).agg(F.max(F.struct("_seq", "queued_at", "pending_id", "content")).alias("_c"))
     newest = newest.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_c.content").alias("_content"), F.lit(True).alias("_known"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
     joined = delta.join(newest, same[0] & same[1] & same[2] & same[3], "left")

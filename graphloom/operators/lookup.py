@@ -23,8 +23,8 @@ def resolve(queries: DataFrame, symbols: DataFrame, most: int = 50) -> DataFrame
     tails = symbols.where(F.col("end_line").isNotNull() & F.col("file_id").isNotNull()).select("symbol_id", "is_test", "line", "end_line", F.explode(T.path_tails(F.regexp_replace("file_id", r"^[^:]*:", ""), 12)).alias("suffix"))
     at = place.join(tails, "suffix").where((F.col("line") <= F.col("b")) & (F.col("end_line") >= F.col("a"))).select("query_id", "symbol_id", F.lit("place").alias("way"), (F.col("end_line") - F.col("line")).alias("o"), "is_test")
     names = q.where(~F.col("text").rlike(r":\d+(-\d+)?$")).withColumn("p", F.split(F.regexp_replace("text", r"[.:]+", "."), r"\."))
-    names = names.select("query_id", F.element_at("p", -1).alias("name"), F.when(F.size("p") > 1, F.element_at("p", -2)).alias("owner"))
-    s = symbols.select("symbol_id", "name", "is_test", F.element_at(F.split(F.split("symbol_id", "#")[0], "::"), -2).alias("inside"))
+    names = names.select("query_id", F.element_at("p", -1).alias("name"), F.try_element_at("p", F.lit(-2)).alias("owner"))
+    s = symbols.select("symbol_id", "name", "is_test", F.try_element_at(F.split(F.split("symbol_id", "#")[0], "::"), F.lit(-2)).alias("inside"))
     m = names.join(s, "name").withColumn("own", F.coalesce(F.col("inside") == F.col("owner"), F.lit(False)))
     owned = m.groupBy("query_id").agg(F.max("own").alias("any"))
     named = m.join(owned, "query_id").where(~F.col("any") | F.col("own")).select("query_id", "symbol_id", F.when(F.col("own"), "member").otherwise("name").alias("way"), F.lit(0).alias("o"), "is_test")

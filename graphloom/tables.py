@@ -85,7 +85,7 @@ def edges(edge_log: DataFrame) -> DataFrame:
 
 def id_package(node_id: Column) -> Column:
     """Package part of ``language::package::namespace::name#digest``."""
-    return F.element_at(F.split(node_id, "::"), 2)
+    return F.try_element_at(F.split(node_id, "::"), F.lit(2))
 
 
 def id_name(node_id: Column) -> Column:

@@ -105,3 +105,12 @@ def test_concurrent_commit_is_refused(spark, tmp_path):
     with pytest.raises(CommitConflict):
         t.append(numbers(spark, 2, 3), expected=m.version - 1)
     assert t.version() == 1
+
+
+def test_nulls_and_clashing_columns(spark, tmp_path, at):
+    rows = [(1, None, None, None, None, None, None, None, 5, at(9), "x"), (2, "file", "a", None, "r", c(1), None, at(1), 5, at(9), "x"), (3, "file", "a", None, "r", c(2), None, at(9), 5, at(9), "x"), (4, "file", "a", "new", "r", c(2), None, at(9), 5, at(9), "x")]
+    path = f"file://{tmp_path}/chunks"
+    spark.createDataFrame(rows, CHUNK + ", seq int, covered_until timestamp_ntz, level string").write.parquet(path)
+    runs = spark.createDataFrame([(1, "r", None, c(1), "succeeded", at(5), at(6)), (2, None, None, None, None, None, None), (3, "r", "nowhere", c(8), "succeeded", at(30), at(30))], RUN)
+    out = I.new_or_changed(spark, path, runs, commits(spark))
+    assert sorted(r["pending_id"] for r in out.collect()) == [1, 4] and out.columns[-3:] == ["seq", "covered_until", "level"]

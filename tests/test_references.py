@@ -46,3 +46,11 @@ def test_report_counts_per_side_and_month(spark, at):
     lib = spark.createDataFrame([], LIB)
     got = R.orphan_report(R.orphans(refs, nodes, lib), refs).collect()
     assert [(r["side"], r["month"], r["n_references"], r["n_missing"], r["n_orphans"]) for r in got] == [("source", "2024-01", 2, 1, 1)]
+
+
+def test_nulls_and_clashing_columns(spark, at):
+    refs = spark.createDataFrame([(None, None, None, None, None, None, None, None, "k", "s"), (1, "i#1", "f", None, None, None, None, None, "k", "s"), (2, "i#1", "f", "a.b", "call", None, None, at(5), "k", "s")], REF + ", key string, side string")
+    nodes = spark.createDataFrame([(*node("i#1", "upsert", at(1)), "k", at(1)), ("Symbol", "j#2", None, None, None, "k", None), (None, None, None, None, None, None, None)], NODE + ", key string, first_at timestamp_ntz")
+    lib = spark.createDataFrame([(None, None, None, "k")], LIB + ", key string")
+    got = sorted((r["ref_id"], r["side"], r["reason"]) for r in R.orphans(refs, nodes, lib).collect())
+    assert got == [(1, "source", "late"), (1, "target", "missing")]

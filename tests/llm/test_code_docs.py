@@ -63,3 +63,16 @@ def test_declaration_documents_its_definition_by_overload(spark, at):
     ]
     got = {r["node_id"]: r["documented_at"] for r in D.pairs(spark.createDataFrame(rows, NODE)).collect()}
     assert got == {"cpp::p::C::f#1": "cpp::p::C::f#1", "cpp::p::C::f#2": "cpp::p::C::f#1"}
+
+
+def test_odd_rows(spark, at):
+    rows = [
+        ("Symbol", "x", "upsert", "{bad json", None, "r", None, None, at(1), 0), ("Symbol", "y", "upsert", json.dumps({"kind": "function", "docstring": GOOD}), None, None, None, None, at(1), 0),
+        (None, None, None, None, None, None, None, None, None, None), ("Symbol", "z", None, json.dumps({"kind": "function", "docstring": GOOD}), "", "r", "f", "c", None, 1),
+    ]
+    got = D.pairs(spark.createDataFrame(rows, NODE)).collect()
+    assert [(r["node_id"], r["code"]) for r in got] == [("y", None)]
+
+
+def test_long_texts_are_read_whole():
+    assert own(docstring="x = 1;\n" * 3 + "\n".join(f"Sentence number {i} of a very long text." for i in range(5000))) > 20_000

@@ -140,14 +140,16 @@ def _neighbour_sql(name: str) -> str:
     return f"WITH {SYM}, {EDGE} SELECT e.{given} AS symbol_id, e.{found} AS neighbour_id, {extra}s.name, e.provenance, e.ref_kind FROM edge e JOIN sym s ON s.symbol_id = e.{found} WHERE e.label IN ({inside})"
 
 
-def _walk_sql(hops: int, labels: str, typed: bool = False) -> str:
+def _walk_sql(hops: int, labels: str, typed: bool = False, keep: int | None = None) -> str:
     """Levels as common table expressions, each without what an earlier one holds."""
     parts = ["l0 AS (SELECT DISTINCT symbol_id AS root_id, symbol_id, 0 AS depth, NULL AS via FROM library_symbol)", "v0 AS (SELECT * FROM l0)"]
     order = "CASE e.label WHEN 'CALLS' THEN '0CALLS' WHEN 'REFERENCES' THEN '1REFERENCES' WHEN 'INHERITS' THEN '2INHERITS' ELSE '3IMPLEMENTS' END"
     for i in range(1, hops + 1):
-        parts.append(f"l{i} AS (SELECT f.root_id, e.src_id AS symbol_id, {i} AS depth, substr(min({order}), 2) AS via FROM l{i - 1} f JOIN edge e ON e.dst_id = f.symbol_id AND e.label IN ({labels}) WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.root_id = f.root_id AND v.symbol_id = e.src_id) GROUP BY f.root_id, e.src_id)")
+        cut = ", row_number() OVER (PARTITION BY f.root_id ORDER BY e.src_id) AS k" if keep else ""
+        level = f"SELECT f.root_id, e.src_id AS symbol_id, {i} AS depth, substr(min({order}), 2) AS via{cut} FROM l{i - 1} f JOIN edge e ON e.dst_id = f.symbol_id AND e.label IN ({labels}) WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.root_id = f.root_id AND v.symbol_id = e.src_id) GROUP BY f.root_id, e.src_id"
+        parts.append(f"l{i} AS (SELECT root_id, symbol_id, depth, via FROM ({level}){f' WHERE k <= {keep}' if keep else ''})")
         parts.append(f"v{i} AS (SELECT * FROM v{i - 1} UNION ALL SELECT * FROM l{i})")
-    return f"WITH {EDGE}, {', '.join(parts)} SELECT root_id, symbol_id, depth{', via AS edge_type' if typed else ''} FROM v{hops} WHERE depth > 0"
+    return f"WITH {EDGE}, {', '.join(parts)} SELECT root_id, symbol_id, depth{', via' if keep else ', via AS edge_type' if typed else ''} FROM v{hops} WHERE depth > 0"
 
 
 _CAND = "cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, symbol_id ORDER BY retrieved_at DESC) AS rn FROM candidate) WHERE rn = 1)"
@@ -178,6 +180,7 @@ ORACLE = {f"{k}_1hop": _neighbour_sql(k) for k in graph.DIRECTIONS} | {
     "call_graph_2hop": _walk_sql(2, "'CALLS'"),
     "call_graph_5hop": _walk_sql(5, "'CALLS'"),
     "blast_radius_3": _walk_sql(3, "'CALLS', 'REFERENCES', 'INHERITS', 'IMPLEMENTS'", typed=True),
+    "impact_dependents_2": _walk_sql(2, "'CALLS', 'REFERENCES', 'INHERITS'", keep=50),
     "dependencies_closure": """WITH RECURSIVE link AS (SELECT DISTINCT replace(replace(replace(qualifier, ' ', ''), '::', '.'), '/', '.') AS src, package AS dst FROM unresolved_ref WHERE qualifier IS NOT NULL),
         reach(root, node, depth) USING KEY (root, node) AS (SELECT DISTINCT package, package, 0 FROM library_symbol UNION SELECT r.root, l.dst, r.depth + 1 FROM reach r JOIN link l ON l.src = r.node AND l.src <> l.dst LEFT JOIN recurring.reach k ON k.root = r.root AND k.node = l.dst WHERE k.node IS NULL)
         SELECT root, node, depth FROM reach WHERE depth > 0""",

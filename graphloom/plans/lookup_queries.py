@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import indexing, lookup, render
 from graphloom.plans import retrieval_queries as R
 from graphloom.plans.graph_queries import _CAND, EDGE, NODE, SYM, edge, sym
-from graphloom.plans.search_queries import qualified_references
+from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _W, _low, qualified_references
 from graphloom.sources import parse
 from graphloom.tables import live_nodes, read, read_wide
 
@@ -168,6 +168,8 @@ ORACLE = {
     "inspect_symbol_graph": f"""WITH {SYM}, {EDGE}, lib AS (SELECT DISTINCT symbol_id FROM library_symbol), u AS (SELECT s.symbol_id, 'definition' AS section, s.file_id AS other_id, s.line FROM sym s SEMI JOIN lib USING (symbol_id) UNION SELECT dst_id, 'callers', src_id, line FROM edge WHERE label = 'CALLS' UNION SELECT src_id, 'callees', dst_id, line FROM edge WHERE label = 'CALLS'
         UNION SELECT dst_id, 'references', src_id, line FROM edge WHERE label = 'REFERENCES' UNION SELECT dst_id, 'subtypes', src_id, line FROM edge WHERE label IN ('INHERITS', 'IMPLEMENTS'))
         SELECT symbol_id, section, other_id, line FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id, section ORDER BY other_id, coalesce(line, 0)) AS k FROM u SEMI JOIN lib USING (symbol_id)) WHERE k <= 20""",
+    "task_text_buckets": f"""WITH {_ISSUE}, t AS (SELECT task_id, unnest(regexp_extract_all({_NOURL.format('text')}, '{_W}', 1)) AS w FROM issue), i AS (SELECT DISTINCT task_id FROM t WHERE length(w) >= 3 AND {_low('w')} NOT IN ({_STOP}) AND (regexp_matches(w, '[^_]_[^_]') OR regexp_matches(w, '[0-9]') OR regexp_matches(w, '[a-z][A-Z]') OR (regexp_matches(w, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') AND length(w) >= 4)))
+        SELECT CASE WHEN i.task_id IS NULL THEN 'prose_only' ELSE 'names_code' END AS bucket, count(*) AS n_tasks FROM issue LEFT JOIN i USING (task_id) GROUP BY 1""",
     "churn_filled": f"WITH {NODE}, c AS (SELECT repo_id, commit_id FROM (SELECT *, max(seq) OVER (PARTITION BY repo_id) AS top FROM repo_commit) WHERE seq > top - 500), n AS (SELECT p.ref_id AS file_id, count(DISTINCT p.indexed_at_commit) AS n FROM pending_chunk p JOIN c ON c.repo_id = p.repo_id AND c.commit_id = p.indexed_at_commit WHERE p.kind = 'file' GROUP BY p.ref_id) SELECT node_id AS file_id, coalesce(n, 0) AS churn FROM node LEFT JOIN n ON n.file_id = node_id WHERE label = 'File'",
     "context_trace": f"""WITH {R._SCORED}, scope AS (SELECT DISTINCT task_id, repo_id FROM cand WHERE anchor), s AS (SELECT task_id, 0 AS stage_no, 'pool' AS stage, count(*) AS n FROM cand GROUP BY task_id UNION ALL SELECT task_id, 1, 'scored', count(*) FROM scored GROUP BY task_id
         UNION ALL SELECT task_id, 2, 'scoped', count(*) FROM scored JOIN scope USING (task_id, repo_id) GROUP BY task_id UNION ALL SELECT task_id, 3, 'returned', count(*) FROM ranked WHERE rank <= 20 GROUP BY task_id) SELECT * FROM s""",

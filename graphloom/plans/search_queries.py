@@ -269,6 +269,15 @@ ORACLE = {
         SELECT task_id, symbol_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY strength DESC, symbol_id) AS r FROM s WHERE strength >= 0.15) WHERE r <= 15""",
     "body_mentions_ident": f"""WITH {SYM}, {_TOKENS}, ident AS (SELECT DISTINCT token AS word FROM tok WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP}) AND (regexp_matches(token, '[^_]_[^_]') OR regexp_matches(token, '[0-9]') OR regexp_matches(token, '[a-z][A-Z]') OR (regexp_matches(token, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') AND length(token) >= 4))),
         b AS (SELECT symbol_id, unnest(list_distinct(regexp_extract_all(coalesce(search_text, ''), '([A-Za-z_][A-Za-z0-9_]*)', 1))) AS word FROM sym WHERE NOT is_test), f AS (SELECT word, symbol_id, count(*) OVER (PARTITION BY word) AS n FROM b SEMI JOIN ident USING (word)) SELECT word, symbol_id, n FROM f WHERE n < 60""",
+    "conventional_tests": f"""WITH {NODE}, {_FILE}, n AS (SELECT file_id, path, string_split(path, '/')[-1] AS name FROM file), p AS (SELECT file_id, path, regexp_extract(name, '^(.*)\\.[^.]*$', 1) AS s, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS e FROM n)
+        SELECT file_id, unnest(CASE WHEN e IN ('py', 'pyi') THEN ['test_' || s || '.py', s || '_test.py'] WHEN e IN ('ts', 'tsx') THEN [s || '.test.ts', s || '.test.tsx', s || '.spec.ts', s || '.spec.tsx']
+          WHEN e IN ('js', 'jsx', 'mjs', 'cjs') THEN [s || '.test.js', s || '.test.jsx', s || '.test.mjs', s || '.test.cjs', s || '.spec.js', s || '.spec.jsx', s || '.spec.mjs', s || '.spec.cjs'] WHEN e = 'go' THEN [s || '_test.go']
+          WHEN e IN ('java', 'kt', 'scala', 'php') THEN [s || 'Test.' || e, s || 'Tests.' || e, 'Test' || s || '.' || e] WHEN e = 'cs' THEN [s || 'Tests.cs', s || 'Test.cs'] WHEN e = 'rb' THEN [s || '_spec.rb', s || '_test.rb'] ELSE [] END) AS basename
+        FROM p WHERE NOT {_TESTPATH.format('path')} AND s <> '' AND NOT starts_with(s, '__')""",
+    "body_mentions_literal": f"""WITH {SYM}, b AS (SELECT symbol_id, list_filter(list_concat(regexp_extract_all(body, '"([A-Za-z_/][\\w.:/-]{{3,63}})"', 1), regexp_extract_all(body, '\'\'([A-Za-z_/][\\w.:/-]{{3,63}})\'\'', 1)), lambda x: regexp_matches(x, '[-_./:0-9]|[a-z][A-Z]')) AS l FROM sym),
+        f AS (SELECT symbol_id, unnest(l) AS literal, unnest(range(len(l))) AS i FROM b), u AS (SELECT symbol_id, literal, min(i) AS i FROM f GROUP BY ALL), want AS (SELECT DISTINCT literal FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY i) AS r FROM u) WHERE r <= 12),
+        q AS (SELECT symbol_id, unnest(list_distinct(list_concat(regexp_extract_all(coalesce(search_text, ''), '"([^"\\n]{{3,80}})"', 1), regexp_extract_all(coalesce(search_text, ''), '\'\'([^\'\'\\n]{{3,80}})\'\'', 1)))) AS literal FROM sym WHERE NOT is_test),
+        h AS (SELECT literal, symbol_id, count(*) OVER (PARTITION BY literal) AS n FROM q SEMI JOIN want USING (literal)) SELECT literal, symbol_id, n FROM h WHERE n < 60""",
     "path_suffix_lookup": f"""WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, s AS (SELECT DISTINCT lower(path) AS suffix FROM mention), f AS (SELECT s.suffix, f.file_id FROM file f JOIN s ON lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix)) SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY suffix) AS n FROM f) WHERE n <= 8""",
     "missing_paths": f"WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, s AS (SELECT DISTINCT lower(path) AS suffix FROM mention) SELECT suffix FROM s WHERE NOT EXISTS (SELECT 1 FROM file f WHERE lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix))",
     "directory_neighbours": f"WITH {NODE}, {_FILE}, f AS (SELECT file_id, regexp_replace(file_id, '/[^/]*$', '') AS folder FROM file), k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM f) WHERE n <= 60) SELECT a.file_id, b.file_id AS neighbour_id FROM k a JOIN k b ON a.folder = b.folder AND a.file_id <> b.file_id",

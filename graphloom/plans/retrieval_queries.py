@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.operators import anchors, candidates, evaluation, expand, graph, indexing, pack, search
 from graphloom.plans.graph_queries import _CAND, EDGE, SYM, edge, sym
-from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _W, _low, content_tokens, file_mentions, issues
+from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues
 from graphloom.session import checkpointed, spread
 from graphloom.tables import live_nodes, read, row_rank
 
@@ -313,6 +313,14 @@ ORACLE["selector_policy"] = f"""WITH {_SCORED}, sel AS (SELECT * FROM ranked WHE
 ORACLE["win_tie_loss"] = f"""WITH {_SCORED}, k AS (SELECT unnest([5, 10, 20]) AS k), tru AS (SELECT task_id, count(*) AS n_truth FROM cand WHERE ref_kind = 'define' GROUP BY task_id), sg AS (SELECT task_id, symbol_id, ref_kind, row_number() OVER (PARTITION BY task_id ORDER BY task_signal DESC NULLS LAST, symbol_id) AS rank FROM cand),
   x AS (SELECT tru.task_id, k.k, round((SELECT count(*) FROM ranked r WHERE r.task_id = tru.task_id AND r.ref_kind = 'define' AND r.rank <= k.k) / n_truth, 6) AS a, round((SELECT count(*) FROM sg r WHERE r.task_id = tru.task_id AND r.ref_kind = 'define' AND r.rank <= k.k) / n_truth, 6) AS b FROM tru CROSS JOIN k)
   SELECT k, count(*) FILTER (WHERE a > b) AS wins, count(*) FILTER (WHERE a = b) AS ties, count(*) FILTER (WHERE a < b) AS losses FROM x GROUP BY k"""
+_BASE = "CASE WHEN e IN ('py', 'pyi') THEN ['test_' || s || '.py', s || '_test.py'] WHEN e IN ('ts', 'tsx') THEN [s || '.test.ts', s || '.test.tsx', s || '.spec.ts', s || '.spec.tsx'] WHEN e IN ('js', 'jsx', 'mjs', 'cjs') THEN [s || '.test.js', s || '.test.jsx', s || '.test.mjs', s || '.test.cjs', s || '.spec.js', s || '.spec.jsx', s || '.spec.mjs', s || '.spec.cjs'] WHEN e = 'go' THEN [s || '_test.go'] WHEN e IN ('java', 'kt', 'scala', 'php') THEN [s || 'Test.' || e, s || 'Tests.' || e, 'Test' || s || '.' || e] WHEN e = 'cs' THEN [s || 'Tests.cs', s || 'Test.cs'] WHEN e = 'rb' THEN [s || '_spec.rb', s || '_test.rb'] ELSE [] END"
+ORACLE["related_tests"] = f"""WITH {SYM}, {EDGE}, {_SCORED}, tg AS (SELECT task_id, symbol_id, CASE WHEN rank = 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS wt FROM ranked WHERE rank <= 3), hop AS (SELECT DISTINCT dst_id AS symbol_id, src_id AS test_id FROM edge WHERE label IN ('CALLS', 'REFERENCES', 'INHERITS', 'IMPLEMENTS')),
+  ts AS (SELECT symbol_id AS test_id, file_id AS test_file, line FROM sym WHERE is_test), ht AS (SELECT tg.*, hop.test_id, ts.test_file, ts.line FROM tg JOIN hop USING (symbol_id) JOIN ts USING (test_id)), gr AS (SELECT task_id, test_file, sum(wt) AS wt FROM (SELECT DISTINCT task_id, test_file, symbol_id, wt FROM ht) GROUP BY task_id, test_file),
+  sp AS (SELECT tg.task_id, regexp_replace(y.file_id, '^[^:]*:', '') AS path FROM tg JOIN sym y USING (symbol_id) WHERE y.file_id IS NOT NULL), se AS (SELECT task_id, path, regexp_extract(string_split(path, '/')[-1], '^(.*)\\.[^.]*$', 1) AS s, lower(regexp_extract(string_split(path, '/')[-1], '\\.([^.]*)$', 1)) AS e FROM sp),
+  ba AS (SELECT DISTINCT task_id, unnest({_BASE}) AS base FROM se WHERE NOT {_TESTPATH.format('path')} AND s <> '' AND NOT starts_with(s, '__')), nm AS (SELECT DISTINCT test_file, string_split(test_file, '/')[-1] AS base FROM ts), us AS (SELECT task_id, base, min(test_file) AS test_file FROM ba JOIN nm USING (base) GROUP BY task_id, base),
+  tt AS (SELECT task_id, test_file, sum(wt) AS weight FROM (SELECT task_id, test_file, wt FROM gr UNION ALL SELECT task_id, test_file, 1.5::DOUBLE FROM us) GROUP BY task_id, test_file), tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY weight DESC, test_file) AS k FROM tt) WHERE k <= 2),
+  rc AS (SELECT task_id, test_file, test_id, line, count(DISTINCT symbol_id) AS n FROM ht GROUP BY ALL), sh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, test_file ORDER BY n DESC, coalesce(line, 0), test_id) AS place FROM rc) WHERE place <= 2)
+  SELECT tp.task_id, tp.test_file AS file_id, tp.weight, sh.test_id AS symbol_id, sh.place FROM tp LEFT JOIN sh USING (task_id, test_file)"""
 _COVERAGE = f"""WITH {SYM}, {EDGE}, {_SCORED}, {_STRONG}, {_SEMANTIC}, {_IMPACT}, {_NOISY}, a AS (SELECT *, len(string_split(sources, ',')) >= 2 OR contains(sources, 'explicit') AS corr FROM noisy),
   tot AS (SELECT task_id, count(*) AS anchor_count, count(*) FILTER (WHERE strength >= 0.6) AS strong_anchor_count, count(*) FILTER (WHERE corr) AS corroborated_anchor_count, CAST(bool_or(contains(sources, 'explicit')) AS INTEGER) + CAST(bool_or(contains(sources, 'semantic')) AS INTEGER) + CAST(bool_or(contains(sources, 'impact')) AS INTEGER) AS source_count FROM a GROUP BY task_id),
   x AS (SELECT r.task_id, r.rank, r.score, r.graph_distance, r.provenance, coalesce(r.degree, 0) AS degree, coalesce(r.is_test, FALSE) AS is_test, r.repo_id, a.strength, a.corr, coalesce(a.strength >= 0.6 OR a.corr, FALSE) AS trusted FROM ranked r LEFT JOIN a USING (task_id, symbol_id) WHERE r.rank <= 20),

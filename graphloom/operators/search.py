@@ -81,10 +81,29 @@ def with_equivalents(task_terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return task_terms.select("task_id", "term").unionByName(task_terms.join(known, "term").select("task_id", F.col("word").alias("term"))).distinct()
 
 
-def lexical_anchors(hits: DataFrame, task_terms: DataFrame) -> DataFrame:
+def phrase_hits(index: DataFrame, task_phrases: DataFrame, limit: int = S.LEXICAL_POOL) -> DataFrame:
+    """(task_id, symbol_id, n): how many of a task's phrases (task_id, phrase: "left right") have both words in a symbol.
+
+    A symbol holds a word if one of its words begins with it. A phrase of ``limit`` symbols or more names none. The word
+    with fewer symbols is looked up first, so a common word costs one row a symbol and is never expanded by phrase.
+    """
+    words = F.split("phrase", " ")
+    pairs = task_phrases.select("phrase").distinct().select("phrase", words[0].alias("a"), words[1].alias("b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    holds = prefix_matches(index, wanted).join(index, "token").select("term", "symbol_id").distinct()
+    size = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.join(size.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
+    first = F.col("na") <= F.col("nb")
+    driven = sized.select("phrase", F.when(first, F.col("a")).otherwise(F.col("b")).alias("term"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    both = driven.join(holds, "term").select("phrase", F.col("other").alias("term"), "symbol_id").join(holds, ["term", "symbol_id"], "left_semi")
+    rare = both.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < limit).select("phrase")
+    return task_phrases.select("task_id", "phrase").distinct().join(both.join(rare, "phrase"), "phrase").groupBy("task_id", "symbol_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexical_anchors(hits: DataFrame, task_terms: DataFrame, phrases: DataFrame | None = None) -> DataFrame:
     """(task_id, symbol_id, strength): how much of a task's terms a symbol's words cover, best 15 of each task.
 
-    ``task_terms``: (task_id, term). A term whose pool is full counts 0.35; tasks of more than three terms gain threefold;
+    ``task_terms``: (task_id, term); ``phrases``: the hits of ``phrase_hits``, each of which counts 1 beside the terms. A term whose pool is full counts 0.35; tasks of more than three terms gain threefold;
     at most the source's cap, at least 0.15.
     """
     full = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -92,6 +111,9 @@ def lexical_anchors(hits: DataFrame, task_terms: DataFrame) -> DataFrame:
     total = weighted.groupBy("task_id").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n_terms"))
     tier = F.create_map(*[F.lit(x) for kv in S.TIER.items() for x in kv])
     got = weighted.where("n > 0").select("task_id", "term", "w").join(hits.select("term", "symbol_id", "tier"), "term").groupBy("task_id", "symbol_id").agg(F.sum(F.col("w") * tier[F.col("tier")]).alias("got"))
+    if phrases is not None:
+        bonus = phrases.select("task_id", "symbol_id", (S.PHRASE_WEIGHT * F.col("n")).alias("got"))
+        got = got.unionByName(bonus).groupBy("task_id", "symbol_id").agg(F.sum("got").alias("got"))
     gain = F.when(F.col("n_terms") <= 3, 1.0).otherwise(3.0)
     strength = F.round(F.least(F.col("got") / F.col("total") * gain, F.lit(S.SOURCE_CAP["lexical"])), 6)
     kept = got.join(total, "task_id").select("task_id", "symbol_id", strength.alias("strength")).where(F.col("strength") >= S.LEXICAL_LEAST)

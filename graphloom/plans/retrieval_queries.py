@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.operators import anchors, candidates, evaluation, expand, graph, indexing, pack, search
 from graphloom.plans.graph_queries import _CAND, EDGE, SYM, edge, sym
-from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues
+from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues, phrase_pairs
 from graphloom.session import checkpointed, spread
 from graphloom.tables import live_nodes, read, row_rank
 
@@ -204,10 +204,11 @@ def get_context_for_task(spark: SparkSession, d: str) -> DataFrame:
     s, e = spread(checkpointed(sym(spark, d))), spread(checkpointed(edge(spark, d)))
     words = _task_words(spark, d)
     terms = spread(checkpointed(content_tokens(spark, d)))
-    hits = search.term_hits(search.postings(s), terms.select("term"))
+    index = search.postings(s)
+    hits, phrases = search.term_hits(index, terms.select("term")), search.phrase_hits(index, phrase_pairs(spark, d))
     mentions = file_mentions(spark, d)
     files = search.files_by_suffix(s.where(F.col("file_id").isNotNull()).select("file_id").distinct(), mentions.select(F.col("path").alias("suffix")).distinct())
-    parts = [("explicit", anchors.explicit(tasks, s)[0]), ("lexical", search.lexical_anchors(hits, terms)), ("usage", anchors.usage(search.mentions_of_words(s, words), words)), ("path", anchors.path(mentions, files, s))]
+    parts = [("explicit", anchors.explicit(tasks, s)[0]), ("lexical", search.lexical_anchors(hits, terms, phrases)), ("usage", anchors.usage(search.mentions_of_words(s, words), words)), ("path", anchors.path(mentions, files, s))]
     found = checkpointed(reduce(DataFrame.unionByName, [x.select("task_id", "symbol_id", F.lit(n).alias("source"), "strength") for n, x in parts]))
     evidence = found.unionByName(anchors.impact(anchors.noisy_or(found), e, s).select("task_id", "symbol_id", F.lit("impact").alias("source"), "strength"))
     pool = expand.expanded(checkpointed(anchors.noisy_or(evidence)), e, s)

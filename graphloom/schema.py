@@ -24,6 +24,8 @@ SEMANTIC_RANK_SCALE = 30
 # Evidence of a text match by the part of the symbol that matched (name, its parts, container and path, text).
 TIER = {"a": 1.0, "b": 0.9, "c": 0.6, "d": 0.35}
 LEXICAL_POOL, LEXICAL_LIMIT, LEXICAL_LEAST, SATURATED_WEIGHT = 25, 15, 0.15, 0.35
+#: What a phrase adds to the evidence of a text match.
+PHRASE_WEIGHT = 1.0
 STRONG_ANCHOR, WEAK_ANCHOR = 0.6, 0.35
 
 

@@ -124,3 +124,22 @@ def test_outline_folds_bodies():
 
     assert outlined("a\ndef f():\n  1\n  2\nb", [(2, 4)]) == "a\ndef f():\n… 3-4\nb"
     assert outlined(None, []) == "" and outlined("x", [(1, 1)]) == "x"
+
+
+def test_phrases_add_to_lexical_evidence(spark):
+    from graphloom.operators import search
+
+    rows = [("both", "access_token", "r:a.py"), ("left", "access", "r:b.py"), ("right", "tokens", "r:c.py"), ("far", "tokens_of_access", "r:d.py")]
+    s = spark.createDataFrame([(i, n, f, None, None, None, None) for i, n, f in rows], "symbol_id string, name string, file_id string, namespace string, signature string, docstring string, body string")
+    index = search.postings(s)
+    terms = spark.createDataFrame([(1, t) for t in ("access", "token", "ledger", "winch", "harbor", "signal", "basket", "drawer", "lantern", "cache")], "task_id long, term string")
+    phrases = spark.createDataFrame([(1, "access token"), (1, "token ledger")], "task_id long, phrase string")
+    found = search.phrase_hits(index, phrases)
+    assert {(r["symbol_id"], r["n"]) for r in found.collect()} == {("both", 1), ("far", 1)}
+    assert search.phrase_hits(index, phrases, limit=2).count() == 0
+    hits = search.term_hits(index, terms.select("term"))
+    plain = {r["symbol_id"]: r["strength"] for r in search.lexical_anchors(hits, terms).collect()}
+    more = {r["symbol_id"]: r["strength"] for r in search.lexical_anchors(hits, terms, found).collect()}
+    assert more["both"] == min(0.8, round(plain["both"] + 0.3, 6)) > plain["both"] and more["left"] == plain["left"]
+    alone = search.lexical_anchors(hits.where("symbol_id <> 'far'"), terms, found)
+    assert {r["symbol_id"]: r["strength"] for r in alone.collect()}["far"] == 0.3

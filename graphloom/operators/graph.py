@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,20 +101,23 @@ def blast_radius(edges: DataFrame, roots: DataFrame, levels: int = 3) -> DataFra
     return walk(edges, roots, levels, steps).withColumnRenamed("via", "edge_type")
 
 
-def closure(links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): all nodes that each root reaches over (src, dst) links, by least depth, to a fixpoint.
 
-    Each round checkpoints its frontier; rounds end when it is empty, after ``most`` at the latest.
+    Each round checkpoints its frontier; rounds end when it is empty. What was visited is checkpointed every 16
+    rounds, so that the plan stays small.
     """
     visited = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     pairs = checkpointed(links.select("src", "dst").distinct())
-    for depth in range(1, most + 1):
+    for depth in count(1):
         reached = frontier.select("root", F.col("node").alias("src")).join(pairs, "src").select("root", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(reached.join(visited.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+        if depth % 16 == 0:
+            visited = checkpointed(visited)
     return visited.where("depth > 0")
 
 

@@ -76,3 +76,9 @@ def test_running_sum_and_rank_over_many_partitions(spark):
     ranks = {(r["k"], r["o"]): r["rank"] for r in ranked(df, ["k"], [F.col("o")]).collect()}
     assert ranks == {(k, o): 1 + sum(1 for j, p, _ in data if j == k and p < o) for k, o, _ in data}
     assert running_sum(df.where("o < 0"), ["k"], [F.col("o")], "v").count() == 0
+
+
+def test_closure_has_no_bound_on_depth(spark):
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(66)], "src string, dst string")
+    got = {r["node"]: r["depth"] for r in graph.closure(links, spark.createDataFrame([("n0",)], "node string")).collect()}
+    assert got == {f"n{i}": i for i in range(1, 67)}

@@ -20,7 +20,7 @@ def resolve(queries: DataFrame, symbols: DataFrame, most: int = 50) -> DataFrame
     """
     q = queries.where(F.length("text") > 0).select("query_id", F.trim("text").alias("text"))
     place = q.where(F.col("text").rlike(r":\d+(-\d+)?$")).select("query_id", F.lower(F.regexp_replace(F.regexp_extract("text", r"^(.*):\d", 1), r"^[./]+", "")).alias("suffix"), F.regexp_extract("text", r":(\d+)", 1).cast("int").alias("a"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(text, '-([0-9]+)$', 1), '') AS INT)"), F.regexp_extract("text", r":(\d+)", 1).cast("int")).alias("b"))
-    tails = symbols.where(F.col("end_line").isNotNull() & F.col("file_id").isNotNull()).select("symbol_id", "is_test", "line", "end_line", F.explode(T.path_tails(F.regexp_replace("file_id", r"^[^:]*:", ""), 12)).alias("suffix"))
+    tails = symbols.where(F.col("end_line").isNotNull() & F.col("file_id").isNotNull()).select("symbol_id", "is_test", "line", "end_line", F.explode(T.path_tails(F.regexp_replace("file_id", r"^[^:]*:", ""))).alias("suffix"))
     at = place.join(tails, "suffix").where((F.col("line") <= F.col("b")) & (F.col("end_line") >= F.col("a"))).select("query_id", "symbol_id", F.lit("place").alias("way"), (F.col("end_line") - F.col("line")).alias("o"), "is_test")
     names = q.where(~F.col("text").rlike(r":\d+(-\d+)?$")).withColumn("p", F.split(F.regexp_replace("text", r"[.:]+", "."), r"\."))
     names = names.select("query_id", F.element_at("p", -1).alias("name"), F.try_element_at("p", F.lit(-2)).alias("owner"))

@@ -147,7 +147,7 @@ def mentions_of_literals(symbols: DataFrame, literals: DataFrame, limit: int = 6
 def files_by_suffix(files: DataFrame, suffixes: DataFrame, limit: int = 8) -> DataFrame:
     """(suffix, file_id, n): files whose path ends in whole parts with the suffix; a suffix of more than ``limit`` files names none."""
     path = F.regexp_replace(F.col("file_id"), r"^[^:]*:", "")
-    tails = files.select("file_id", F.explode(T.path_tails(path, 12)).alias("suffix"))
+    tails = files.select("file_id", F.explode(T.path_tails(path)).alias("suffix"))
     hit = tails.join(suffixes.select(F.lower("suffix").alias("suffix")).distinct(), "suffix")
     few = hit.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
     return hit.join(few, "suffix").select("suffix", "file_id", "n")
@@ -156,7 +156,7 @@ def files_by_suffix(files: DataFrame, suffixes: DataFrame, limit: int = 8) -> Da
 def missing_paths(files: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Suffixes that no file ends with."""
     path = F.regexp_replace(F.col("file_id"), r"^[^:]*:", "")
-    tails = files.select(F.explode(T.path_tails(path, 12)).alias("suffix")).distinct()
+    tails = files.select(F.explode(T.path_tails(path)).alias("suffix")).distinct()
     return suffixes.select(F.lower("suffix").alias("suffix")).distinct().join(tails, "suffix", "left_anti")
 
 

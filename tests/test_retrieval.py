@@ -143,3 +143,13 @@ def test_phrases_add_to_lexical_evidence(spark):
     assert more["both"] == min(0.8, round(plain["both"] + 0.3, 6)) > plain["both"] and more["left"] == plain["left"]
     alone = search.lexical_anchors(hits.where("symbol_id <> 'far'"), terms, found)
     assert {r["symbol_id"]: r["strength"] for r in alone.collect()}["far"] == 0.3
+
+
+def test_deep_paths_are_found_by_long_suffixes(spark):
+    from graphloom.operators import search
+
+    path = "/".join(f"p{i}" for i in range(15)) + "/a.py"
+    files = spark.createDataFrame([("r:" + path,)], "file_id string")
+    suffixes = spark.createDataFrame([(path,), (path[3:],), ("x/a.py",)], "suffix string")
+    assert {r["suffix"] for r in search.files_by_suffix(files, suffixes).collect()} == {path, path[3:]}
+    assert [r["suffix"] for r in search.missing_paths(files, suffixes).collect()] == ["x/a.py"]

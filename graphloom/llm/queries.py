@@ -34,21 +34,19 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    files, _, _ = handwritten.judged(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
-    return files.where(F.col("kind").isNotNull()).select("file_id")
+    files, _ = handwritten.judged(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
+    return files.where(F.col("evidence").isNotNull()).select("file_id")
 
 
 def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Files and mean score by kind, null for hand-written ones."""
-    files, _, _ = handwritten.judged(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
-    return files.groupBy("kind").agg(F.count(F.lit(1)).alias("n_files"), F.round(F.avg("score"), 3).alias("mean_score"), F.max("copied").alias("most_copied"))
+    """Files and mean score by kind (null for hand-written ones) and by what decided."""
+    files, _ = handwritten.judged(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
+    return files.groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_files"), F.round(F.avg("score"), 3).alias("mean_score"))
 
 
 def p4_validation(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, precision and recall of the machine alone on all files of the repositories it has not seen."""
-    files, _, figures = handwritten.judged(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
-    figures |= handwritten.validated(files).first().asDict()
-    return spark.createDataFrame([(k, float(v)) for k, v in sorted(figures.items())], "figure string, value double")
+    return handwritten.validated(read_wide(spark, d, "source_file"), read(spark, d, "upstream_file"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tokens and grammars of eight programming languages, as far as telling valid from invalid files needs them.
 
-Names, types and imports are not resolved. Template strings are one token; names that are words of the language only in
-some places are names everywhere they may be one.
+Names, types and imports are not resolved. Template strings and JSX elements are one token; of preprocessor branches the
+first is read; words that are reserved only in some places are names everywhere else.
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ _WORDS = {
 }
 _WORDS["typescript"] = _WORDS["javascript"] + " interface type enum namespace declare abstract readonly implements public private protected keyof infer is satisfies module"
 
+# Words with a meaning of their own in some places only: tokens of their own that may stand wherever a name may.
+_SOFT = {
+    "python": "type match case", "java": "yield record sealed permits when non",
+    "csharp": "global alias partial async required file record where get set init add remove yield await from select orderby group by into join equals on let ascending descending when and or not with",
+}
+
 # Operators: those only ever between operands are BOP, assigning ones ASG, all others tokens of their own.
 _BINARY = {
     "python": "== != <= >= // / % | & ^ << >> < >", "javascript": "=== !== == != <= && || ?? / % ^ | << ** &", "java": "== != <= >= && || / % ^ | <<", "go": "== != <= >= && || / % | << >> &^", "rust": "== != <= / % ^ <<",
@@ -84,10 +90,10 @@ def _lexer(language: str) -> tuple:
         rf"(?P<blank>[ \t\f\r\v\xa0﻿]+)|(?P<conflict>{_CONFLICT})|(?P<nl>\n)|(?P<comment>{comment})|(?P<string>{_STRINGS[language]})|(?P<broken>{broken}|{quote if language != 'rust' else chr(34)})"
         rf"|(?P<number>{_NUMBER}{_SUFFIX[language]}(?!\w))|(?P<name>{name})|(?P<op>{longest})|(?P<bad>[\s\S])"
     )
-    return pattern, operators, frozenset(_WORDS[language].split())
+    return pattern, operators, frozenset([*_WORDS[language].split(), *_SOFT.get(language, "").split()])
 
 
-_VALUE_END = frozenset(["ID", "NUM", "STR", "TMPL", "RE", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
+_VALUE_END = frozenset(["ID", "NUM", "STR", "TMPL", "RE", "JSX", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _NO_ASI_BEFORE = frozenset(". ?. , ; ) ] } = ? : BOP ASG => * + - & | < > ( [ in instanceof else catch finally while of as from TMPL".split())
 _ASI_AFTER = _VALUE_END | {"return", "break", "continue", "debugger"}
@@ -123,22 +129,126 @@ def _template(text: str, at: int) -> int:
     return -1
 
 
-def tokenize(language: str, text: str) -> tuple[list[str], list[int]]:
-    """Token classes of a text and the line of each; unknown and unterminated pieces are ERR, merge markers CONFLICT."""
+_TAG_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_GAP = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/)*")
+
+
+def _braces(text: str, at: int) -> int:
+    """End of the ``{...}`` that begins at ``at``, with its strings, comments, templates and elements; -1 if it has none."""
+    i, n, depth = at, len(text), 0
+    while i < n:
+        c = text[i]
+        if c == "`":
+            i = _template(text, i)
+            if i < 0:
+                return -1
+            continue
+        if c in "\"'":
+            m = re.compile(_DOUBLE if c == '"' else _SINGLE).match(text, i)
+            i = m.end() if m else i + 1
+            continue
+        if c == "/" and (m := re.compile(r"//[^\n]*|/\*[\s\S]*?\*/").match(text, i)):
+            i = m.end()
+            continue
+        if c == "<" and text[i + 1 : i + 2].isalpha() | (text[i + 1 : i + 2] == ">") and re.search(r"[({\[,;?:&|=>]\s*$|\breturn\s*$", text[at:i]) and (e := _element(text, i)) > 0:
+            i = e
+            continue
+        depth += (c == "{") - (c == "}")
+        i += 1
+        if not depth:
+            return i
+    return -1
+
+
+def _element(text: str, at: int) -> int:
+    """End of the JSX element or fragment that begins at ``at``, its tags paired; -1 if there is none."""
+    m = _TAG_NAME.match(text, at + 1)
+    name, i = (m.group(), m.end()) if m else ("", at + 1)
+    while True:  # attributes
+        i = _GAP.match(text, i).end()
+        if text.startswith("/>", i) and name:
+            return i + 2
+        if text.startswith(">", i):
+            i += 1
+            break
+        if text.startswith("{", i):
+            i = _braces(text, i)
+        elif name and (m := _TAG_NAME.match(text, i)):
+            i = _GAP.match(text, m.end()).end()
+            if text.startswith("=", i):
+                i = _GAP.match(text, i + 1).end()
+                if text.startswith("{", i):
+                    i = _braces(text, i)
+                elif text.startswith("<", i):
+                    i = _element(text, i)
+                else:
+                    m = re.compile(r"\"[^\"]*\"|'[^']*'").match(text, i)
+                    i = m.end() if m else -1
+        else:
+            return -1
+        if i < 0:
+            return -1
+    while True:  # children
+        i = min((x for x in (text.find("<", i), text.find("{", i)) if x >= 0), default=-1)
+        if i < 0:
+            return -1
+        if text[i] == "{":
+            i = _braces(text, i)
+        elif text.startswith("</", i):
+            i = _GAP.match(text, i + 2).end()
+            if not text.startswith(name, i):
+                return -1
+            i = _GAP.match(text, i + len(name)).end()
+            return i + 1 if text.startswith(">", i) else -1
+        else:
+            i = _element(text, i)
+        if i < 0:
+            return -1
+
+
+_CONDITION = re.compile(r"[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b[ \t]*(.*)")
+
+
+def _one_branch(text: str) -> str:
+    """C++ text in which of each group of preprocessor branches the first is kept, ``#if 0`` aside; lines are kept in number."""
+    out, kept = [], [(True, True)]  # whether lines are kept, and whether some branch of the group was
+    for line in text.split("\n"):
+        m = _CONDITION.match(line)
+        if not m:
+            out.append(line if kept[-1][0] else "")
+            continue
+        word, never = m[1], m[2].split("//")[0].strip() in ("0", "false")
+        if word.startswith("if"):
+            kept.append((kept[-1][0] and not never, not never))
+        elif word == "endif" or len(kept) == 1:
+            kept = kept[:-1] if len(kept) > 1 else kept
+        else:
+            taken = kept[-1][1]
+            kept[-1] = (kept[-2][0] and not taken and not never, taken or not never)
+        out.append("")
+    return "\n".join(out)
+
+
+def tokenize(language: str, text: str, path: str | None = None) -> tuple[list[str], list[int]]:
+    """Token classes of a text and the line of each; unknown and unterminated pieces are ERR, merge markers CONFLICT.
+
+    JSX elements are one token each, read where ``path`` says that a script may hold them."""
     pattern, operators, words = _lexer(language)
     text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
     if language == "cpp":
-        text = re.sub(r"(?m)^[ \t]*#[ \t]*(?:include|define|undef|if|ifdef|ifndef|else|elif|endif|pragma|error|warning|line)?\b(?:\\\n|[^\n])*", "", text)
+        text = _one_branch(text)
+        text = re.sub(r"(?m)^[ \t]*#[ \t]*(?:include|define|undef|pragma|error|warning|line)?\b(?:\\\n|[^\n])*", "", text)
     if language == "csharp":
         text = re.sub(r"(?m)^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|endif|pragma|nullable|define|undef|error|warning|line)\b[^\n]*", "", text)
     if language in ("javascript", "typescript") and text.startswith("#!"):
         text = "//" + text
     script = language in ("javascript", "typescript")
+    elements = script and (path or "").lower().endswith(("x", ".js", ".mjs", ".cjs"))
     out: list[str] = []
     lines: list[int] = []
     line, at, n, depth, fresh = 1, 0, len(text), 0, False
     match = pattern.match
-    indent = [0]
+    indent = [(0, 0)]  # columns with tabs of 8 and of 1: both must agree
     if language == "python":
         blank_line = re.compile(r"[ \t\f]*(?:\#[^\n]*)?(?:\n|$)")
         column_of = re.compile(r"[ \t\f]*")
@@ -151,13 +261,13 @@ def tokenize(language: str, text: str) -> tuple[list[str], list[int]]:
                 at = m.end()
                 continue
             m = column_of.match(text, at)
-            column = len(m.group().expandtabs(8))
-            if column > indent[-1]:
+            column = len(m.group().expandtabs(8)), len(m.group())
+            if column[0] > indent[-1][0] and column[1] > indent[-1][1]:
                 indent.append(column)
                 out.append("INDENT")
                 lines.append(line)
             else:
-                while column < indent[-1]:
+                while column[0] < indent[-1][0]:
                     indent.pop()
                     out.append("DEDENT")
                     lines.append(line)
@@ -172,6 +282,8 @@ def tokenize(language: str, text: str) -> tuple[list[str], list[int]]:
             end = _template(text, at)
             kind = "TMPL" if end > 0 else "ERR"
             end = end if end > 0 else n
+        elif text[at] == "<" and elements and (not out or out[-1] not in _VALUE_END or fresh) and (text[at + 1 : at + 2].isalpha() or text[at + 1 : at + 2] == ">") and (end := _element(text, at)) > 0:
+            kind = "JSX"
         elif text[at] == "/" and script and (not out or out[-1] not in _VALUE_END) and (m := _REGEX.match(text, at)):
             kind, end = "RE", m.end()
         else:
@@ -247,24 +359,27 @@ _PYTHON = """
 file = (NL | stmt)*
 stmt = small (';' small)* ';'? NL | block
 small = value | 'return' tests? | 'pass' | 'break' | 'continue' | 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* | 'from' ('.' | '...')* dotted? 'import' ('*' | names | '(' names ','? ')')
-  | 'raise' (test ('from' test)?)? | ('global' | 'nonlocal') ID (',' ID)* | 'del' tests | 'assert' test (',' test)? | 'import' dotted
+  | 'raise' (test ('from' test)?)? | ('global' | 'nonlocal') ID (',' ID)* | 'del' targets | 'assert' test (',' test)? | 'import' dotted
 dotted = ID ('.' ID)*
 names = ID ('as' ID)? (',' ID ('as' ID)?)*
-value = tests ('=' (tests | yield))* | post ':' test ('=' (tests | yield))? | post ASG (tests | yield) | yield | ID ID ('[' tests ']')? '=' test
+value = (targets '=')* (tests | yield) | place ':' test ('=' (tests | yield))? | place ASG (tests | yield) | 'type' ID generic? '=' test
 yield = 'yield' ('from' test | tests)?
 block = 'if' named ':' suite ('elif' named ':' suite)* ('else' ':' suite)? | 'while' named ':' suite ('else' ':' suite)? | 'async'? 'for' targets 'in' tests ':' suite ('else' ':' suite)?
   | 'try' ':' suite (('except' '*'? (test (',' test)* ('as' ID)?)? ':' suite)+ ('else' ':' suite)? ('finally' ':' suite)? | 'finally' ':' suite) | 'async'? 'with' (withitem (',' withitem)* | '(' withitem (',' withitem)* ','? ')') ':' suite
-  | decorator* ('async'? 'def' ID generic? '(' params? ')' ('->' test)? ':' suite | 'class' ID generic? ('(' args? ')')? ':' suite) | ID tests ':' NL INDENT (ID tests ('if' named)? ':' suite)+ DEDENT
+  | decorator* ('async'? 'def' ID generic? '(' params? ')' ('->' test)? ':' suite | 'class' ID generic? ('(' args? ')')? ':' suite) | 'match' tests ':' NL INDENT ('case' pattern (',' pattern)* ','? ('if' named)? ':' suite)+ DEDENT
+pattern = '*'? test ('as' ID)?
 decorator = '@' named NL
 generic = '[' ('*' | '**')? ID (':' test)? (',' ('*' | '**')? ID (':' test)?)* ','? ']'
-withitem = test ('as' star)?
+withitem = test ('as' target)?
 suite = small (';' small)* ';'? NL | NL INDENT stmt+ DEDENT
 params = param (',' param)* ','?
 param = ID (':' test)? ('=' test)? | '*' (ID (':' star)?)? | '**' ID (':' test)? | BOP
-targets = star (',' star)* ','?
+targets = target (',' target)* ','?
+target = '*'? (place | '(' targets? ')' | '[' targets? ']')
+place = ID | '(' place ')' | prim ('.' ID | '(' args? ')' | '[' subs ']')* ('.' ID | '[' subs ']')
 tests = star (',' star)* ','?
 star = '*' test | named
-named = test (':=' test)?
+named = (ID ':=')? test
 test = chain ('if' chain 'else' test)? | 'lambda' params? ':' test
 $bop = BOP | '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'?
 chain = unary ($bop unary)*
@@ -272,7 +387,7 @@ unary = ('not' | '-' | '+' | '~' | 'await')* post
 post = prim ('.' ID | '(' args? ')' | '[' subs ']')*
 prim = ID | NUM | STR+ | '...' | 'None' | 'True' | 'False' | '(' (tests | yield | named comp)? ')' | '[' (tests | named comp)? ']' | '{' (entry (',' entry)* ','? | entry comp)? '}'
 entry = test ':' test | '**' chain | star
-comp = ('async'? 'for' targets 'in' chain ('if' chain (':=' chain)?)*)+
+comp = ('async'? 'for' targets 'in' chain ('if' (ID ':=')? chain)*)+
 args = arg (',' arg)* ','?
 arg = named comp? | ID '=' test | '*' test | '**' test
 subs = sub (',' sub)* ','?
@@ -313,7 +428,7 @@ arrow = 'async'? ($id | signature) '=>' (assign | block)
 chain = unary ($bop unary)* %(AS)s
 unary = ('!' | '~' | '+' | '-' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--' | 'yield' '*'?)* post
 post = ('new' ('.' $name)?)* prim ('.' '#'? $name | '?.' ($name | '[' exprs ']' | '(' args? ')') | '(' args? ')' | '[' exprs ']' | TMPL | '++' | '--' %(POST)s)*
-prim = $id | NUM | STR | TMPL | RE | 'this' | 'super' | 'null' | 'true' | 'false' | '(' exprs ')' | '[' (arg? ',')* arg? ']' | object | function | class | 'import'
+prim = $id | NUM | STR | TMPL | RE | JSX | 'this' | 'super' | 'null' | 'true' | 'false' | '(' exprs ')' | '[' (arg? ',')* arg? ']' | object | function | class | 'import'
 args = arg (',' arg)* ','?
 arg = '...'? assign
 object = '{' (prop (',' prop)* ','?)? '}'
@@ -343,7 +458,7 @@ sig = 'readonly'? ('get' | 'set')? key '?'? (':' type | signature)? | 'new'? sig
 _C_EXPRESSIONS = """
 exprs = assign (',' assign)*
 assign = chain ('?' assign ':' assign | ('=' | ASG) assign)? | lambda
-chain = unary ($bop unary)*
+chain = unary ($bop unary | 'instanceof' (shape | type))*
 args = assign (',' assign)*
 """
 _JAVA = """
@@ -353,7 +468,7 @@ qname = ID ('.' ID)*
 mods = ('public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | annotation)*
 annotation = '@' qname ('(' (annvalue (',' annvalue)*)? ')')?
 annvalue = (ID '=')? (assign | annotation | '{' (annvalue (',' annvalue)*)? ','? '}')
-typedecl = mods ID? ID? ('class' ID generic? ('extends' type)? ('implements' types)? (ID types)? body | 'interface' ID generic? ('extends' types)? (ID types)? body | 'enum' ID ('implements' types)? '{' (constant (',' constant)*)? ','? (';' member*)? '}' | '@' 'interface' ID body | ID ID generic? '(' params? ')' ('implements' types)? body)
+typedecl = mods (('sealed' | 'non' '-' 'sealed') mods)? ('class' ID generic? ('extends' type)? ('implements' types)? ('permits' types)? body | 'interface' ID generic? ('extends' types)? ('permits' types)? body | 'enum' ID ('implements' types)? '{' (constant (',' constant)*)? ','? (';' member*)? '}' | '@' 'interface' ID body | 'record' ID generic? '(' params? ')' ('implements' types)? body)
 constant = annotation* ID ('(' args? ')')? body?
 generic = '<' gparam (',' gparam)* '>'
 gparam = annotation* ID ('extends' type ('&' type)*)?
@@ -373,12 +488,13 @@ targ = type | annotation* '?' (('extends' | 'super') type)?
 block = '{' stmt* '}'
 stmt = block | ';' | typedecl | ('final' | annotation)* type vars ';' | exprs ';' | 'if' '(' exprs ')' stmt ('else' stmt)? | 'while' '(' exprs ')' stmt | 'do' stmt 'while' '(' exprs ')' ';' | 'for' '(' (('final' | annotation)* type vars | exprs)? ';' exprs? ';' exprs? ')' stmt | 'for' '(' ('final' | annotation)* type ID ':' exprs ')' stmt
   | 'return' exprs? ';' | 'throw' exprs ';' | ('break' | 'continue') ID? ';' | 'assert' assign (':' assign)? ';' | 'synchronized' '(' exprs ')' block | ID ':' stmt | switch
-  | 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' ('final' | annotation)* type (BOP type)* ID ')' block)* ('finally' block)? | ID assign ';'
+  | 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' ('final' | annotation)* type (BOP type)* ID ')' block)* ('finally' block)? | 'yield' assign ';'
 resource = 'final'? type ID '=' assign | post
 switch = 'switch' '(' exprs ')' '{' (('case' labels | 'default') (':' stmt* | '->' (exprs ';' | block | 'throw' exprs ';')))* '}'
 labels = label (',' label)*
-label = assign | type ID | 'default'
-$bop = BOP | '+' | '-' | '*' | '&' | '<' | '>' ('>' '>'?)? | 'instanceof' 'final'?
+label = (assign | shape | 'default') ('when' exprs)?
+shape = ('final' | annotation)* type (ID | '(' (shape (',' shape)*)? ')' ID?)
+$bop = BOP | '+' | '-' | '*' | '&' | '<' | '>' ('>' '>'?)?
 lambda = (ID | '(' (ID (',' ID)* | params)? ')') '->' (assign | block)
 unary = ('!' | '~' | '+' | '-' | '++' | '--' | '(' type ('&' type)* ')')* post
 post = prim ('.' targs? (ID | 'class' | 'this' | 'super' | 'new' ID) | '(' args? ')' | '[' exprs ']' | '++' | '--' | '::' (ID | 'new'))*
@@ -469,17 +585,17 @@ eseg = ID | 'self' | 'Self' | 'super' | 'crate'
 """
 
 _CSHARP = """
-file = ('extern' ID ID ';' | using)* member*
-using = ID? 'using' 'static'? (ID '=')? type ';'
+file = ('extern' 'alias' ID ';' | using)* member*
+using = 'global'? 'using' 'static'? (ID '=')? type ';'
 attr = '[' (ID ':')? post (',' post)* ','? ']'
-$mods = ('public' | 'private' | 'protected' | 'internal' | 'static' | 'abstract' | 'sealed' | 'virtual' | 'override' | 'readonly' | 'const' | 'extern' | 'unsafe' | 'volatile' | 'new' | 'event' | 'fixed' | 'ref')*
+$mods = ('public' | 'private' | 'protected' | 'internal' | 'static' | 'abstract' | 'sealed' | 'virtual' | 'override' | 'readonly' | 'const' | 'extern' | 'unsafe' | 'volatile' | 'new' | 'event' | 'fixed' | 'ref' | 'partial' | 'async' | 'required' | 'file')*
 mods = attr* $mods
-member = ';' | 'namespace' qname (';' using* | '{' using* member* '}' ';'?) | mods ID? typedecl | mods ID? (type | 'void') ('operator' $anyop | (type '.')? ID) generic? '(' params? ')' wheres (block | '=>' exprs ';' | ';') | mods ID '(' params? ')' (':' ('base' | 'this') '(' args? ')')? (block | '=>' exprs ';' | ';') | mods '~' ID '(' ')' block
-  | mods ('implicit' | 'explicit') 'operator' type '(' params ')' (block | '=>' exprs ';') | mods ID? type vars ';' | mods ID? type (type '.')? (ID | 'this' '[' params ']') ('{' accessor+ '}' ('=' exprs ';')? | '=>' exprs ';') | mods 'delegate' type ID generic? '(' params? ')' wheres ';' | mods 'delegate' 'void' ID generic? '(' params? ')' wheres ';'
+member = ';' | 'namespace' qname (';' using* | '{' using* member* '}' ';'?) | mods typedecl | mods (type | 'void') ('operator' $anyop | (type '.')? ID) generic? '(' params? ')' wheres (block | '=>' exprs ';' | ';') | mods ID '(' params? ')' (':' ('base' | 'this') '(' args? ')')? (block | '=>' exprs ';' | ';') | mods '~' ID '(' ')' block
+  | mods ('implicit' | 'explicit') 'operator' type '(' params ')' (block | '=>' exprs ';') | mods type vars ';' | mods type (type '.')? (ID | 'this' '[' params ']') ('{' accessor+ '}' ('=' exprs ';')? | '=>' exprs ';') | mods 'delegate' type ID generic? '(' params? ')' wheres ';' | mods 'delegate' 'void' ID generic? '(' params? ')' wheres ';'
 $anyop = BOP | '+' | '-' | '*' | '!' | '~' | '<' | '>' | '&' | 'true' | 'false' | '++' | '--'
-typedecl = ('class' | 'struct' | 'interface' | ID ('class' | 'struct')?) ID generic? ('(' params? ')')? (':' type ('(' args? ')')? (',' type)*)? wheres ('{' member* '}' ';'? | ';') | 'enum' ID (':' type)? '{' (attr* ID ('=' assign)? (',' attr* ID ('=' assign)?)* ','?)? '}' ';'?
-wheres = (ID ID ':' (type | 'class' | 'struct' | 'new' '(' ')') (',' (type | 'class' | 'struct' | 'new' '(' ')'))*)*
-accessor = attr* $mods ID (block | '=>' exprs ';' | ';')
+typedecl = ('class' | 'struct' | 'interface' | 'record' ('class' | 'struct')?) ID generic? ('(' params? ')')? (':' type ('(' args? ')')? (',' type)*)? wheres ('{' member* '}' ';'? | ';') | 'enum' ID (':' type)? '{' (attr* ID ('=' assign)? (',' attr* ID ('=' assign)?)* ','?)? '}' ';'?
+wheres = ('where' ID ':' (type | 'class' | 'struct' | 'new' '(' ')') (',' (type | 'class' | 'struct' | 'new' '(' ')'))*)*
+accessor = attr* $mods ('get' | 'set' | 'init' | 'add' | 'remove') (block | '=>' exprs ';' | ';')
 qname = ID ('.' ID)*
 generic = '<' attr* ('in' | 'out')? ID (',' attr* ('in' | 'out')? ID)* '>'
 params = param (',' param)*
@@ -491,22 +607,25 @@ $prim = 'int' | 'char' | 'long' | 'short' | 'byte' | 'bool' | 'float' | 'double'
 type = ($prim | (ID '::')? ID targs? ('.' ID targs?)* | '(' type ID? (',' type ID?)+ ')') ('?' | '*' | '[' ','* ']')*
 targs = '<' (type (',' type)* | ','*) '>'
 block = '{' stmt* '}'
-stmt = block | ';' | ('const' | 'using' | ID 'using' | 'ref')? type vars ';' | exprs ';' | 'if' '(' exprs ')' stmt ('else' stmt)? | 'while' '(' exprs ')' stmt | 'do' stmt 'while' '(' exprs ')' ';' | 'for' '(' (type vars | exprs)? ';' exprs? ';' exprs? ')' stmt | ID? 'foreach' '(' type (ID | '(' ID (',' ID)* ')') 'in' exprs ')' stmt
-  | 'return' exprs? ';' | 'throw' exprs? ';' | ('break' | 'continue') ';' | 'goto' ('case' exprs | 'default' | ID) ';' | ID ('return' exprs | 'break') ';' | ('lock' | 'fixed' | 'using') '(' (type vars | exprs) ')' stmt | ('checked' | 'unchecked' | 'unsafe') block | ID ':' stmt
-  | 'try' block ('catch' ('(' type ID? ')')? (ID '(' exprs ')')? block)* ('finally' block)? | 'switch' '(' exprs ')' '{' ((('case' pattern (ID assign)? | 'default') ':')+ stmt+)* '}' | mods ID? (type | 'void') ID generic? '(' params? ')' (block | '=>' exprs ';')
-pattern = assign | type ID | ('<' | '>' | BOP) assign
+stmt = block | ';' | ('const' | 'await'? 'using' | 'ref')? type vars ';' | exprs ';' | 'if' '(' exprs ')' stmt ('else' stmt)? | 'while' '(' exprs ')' stmt | 'do' stmt 'while' '(' exprs ')' ';' | 'for' '(' (type vars | exprs)? ';' exprs? ';' exprs? ')' stmt | 'await'? 'foreach' '(' type (ID | '(' ID (',' ID)* ')') 'in' exprs ')' stmt
+  | 'return' exprs? ';' | 'throw' exprs? ';' | ('break' | 'continue') ';' | 'goto' ('case' exprs | 'default' | ID) ';' | 'yield' ('return' exprs | 'break') ';' | ('lock' | 'fixed' | 'using') '(' (type vars | exprs) ')' stmt | ('checked' | 'unchecked' | 'unsafe') block | ID ':' stmt
+  | 'try' block ('catch' ('(' type ID? ')')? ('when' '(' exprs ')')? block)* ('finally' block)? | 'switch' '(' exprs ')' '{' ((('case' pattern ('when' assign)? | 'default') ':')+ stmt+)* '}' | mods (type | 'void') ID generic? '(' params? ')' (block | '=>' exprs ';')
+pattern = 'not'* (type ID? | operands | ('<' | '>') '='? operands | BOP operands | type? '{' ((property (',' property)*) ','?)? '}' ID?) (('and' | 'or') pattern)?
+property = ID ('.' ID)* ':' pattern
+operands = unary ($bop unary)*
 $bop = BOP | '+' | '-' | '*' | '&' | '<' | '>' ('>' '>'?)? | '>' '=' | '..'
-lambda = 'static'? ID? ((ID | '(' (lparam (',' lparam)*)? ')') '=>' (assign | block) | 'delegate' ('(' params? ')')? block) | 'throw' assign
+lambda = 'static'? 'async'? ((ID | '(' (lparam (',' lparam)*)? ')') '=>' (assign | block) | 'delegate' ('(' params? ')')? block) | 'throw' assign
 lparam = ('ref' | 'out' | 'in')? type? ID
 exprs = assign (',' assign)*
-assign = chain ('?' assign ':' assign | ('=' | ASG) assign)? | lambda
-chain = unary ($bop unary | 'is' ID? (type ID? | unary) ('{' any '}')? | 'as' type | ID unary)*
-any = args?
-unary = ('!' | '~' | '+' | '-' | '++' | '--' | '&' | '*' | '(' type ')' | '..' | 'ref')* post
+assign = chain ('?' assign ':' assign | ('=' | ASG) assign)? | lambda | query
+query = 'from' type? ID 'in' assign clauses
+clauses = ('from' type? ID 'in' assign | 'where' assign | 'let' ID '=' assign | 'join' type? ID 'in' assign 'on' assign 'equals' assign ('into' ID)? | 'orderby' assign ('ascending' | 'descending')? (',' assign ('ascending' | 'descending')?)*)* ('select' assign | 'group' assign 'by' assign) ('into' ID clauses)?
+chain = unary ($bop unary | 'is' pattern | 'as' type)*
+unary = ('!' | '~' | '+' | '-' | '++' | '--' | '&' | '*' | '(' type ')' | '..' | 'ref' | 'await')* post
 args = arg (',' arg)*
 arg = (ID ':')? ('ref' | 'in' | 'out' type?)? assign | 'out' type ID
-post = prim ('.' ID targs? | '?.' ID targs? | '?.'? '[' args ']' | '?' '[' args ']' | '(' args? ')' | '++' | '--' | '!' | '::' ID | ID '{' (sarm (',' sarm)* ','?)? '}' | 'switch' '{' (sarm (',' sarm)* ','?)? '}')*
-sarm = pattern (ID assign)? '=>' assign
+post = prim ('.' ID targs? | '?.' ID targs? | '?.'? '[' args ']' | '?' '[' args ']' | '(' args? ')' | '++' | '--' | '!' | '::' ID | 'with' init | 'switch' '{' (sarm (',' sarm)* ','?)? '}')*
+sarm = pattern ('when' assign)? '=>' assign
 prim = ID targs? | NUM | STR | 'this' | 'base' | 'null' | 'true' | 'false' | '(' exprs ')' | $prim | ('typeof' | 'sizeof') '(' (type | 'void') ')' | 'default' ('(' type ')')? | ('checked' | 'unchecked') '(' exprs ')' | 'new' (ctype ('(' args? ')' init? | init | '[' exprs ']' ('[' ','* ']')* init? | ('[' ','* ']')+ init) | '(' args? ')' init? | '[' ','* ']' init | init) | '[' (args ','?)? ']' | 'stackalloc' type '[' exprs ']'
 ctype = $prim | ID targs? ('.' ID targs?)*
 """
@@ -560,8 +679,6 @@ args = (assign | init) (',' (assign | init))*
 
 @lru_cache(maxsize=None)
 def grammar(language: str) -> Grammar:
-    if language == "python":
-        return Grammar(_PYTHON)
     if language == "javascript":
         return Grammar(_SCRIPT % _PLAIN, ";", ("}", "<end>"))
     if language == "typescript":
@@ -571,7 +688,7 @@ def grammar(language: str) -> Grammar:
     if language == "rust":
         tokens = {*_WORDS["rust"].split(), *_OTHER["rust"].split()} - set("()[]{}")
         return Grammar(_RUST % {"TOKENS": " | ".join(f"'{t}'" for t in sorted(tokens))})
-    return Grammar({"java": _JAVA, "csharp": _CSHARP, "cpp": _CPP}[language])
+    return Grammar({"python": _PYTHON, "java": _JAVA, "csharp": _CSHARP, "cpp": _CPP}[language], soft=tuple(_SOFT.get(language, "").split()))
 
 
 @lru_cache(maxsize=None)

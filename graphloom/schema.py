@@ -26,6 +26,8 @@ TIER = {"a": 1.0, "b": 0.9, "c": 0.6, "d": 0.35}
 LEXICAL_POOL, LEXICAL_LIMIT, LEXICAL_LEAST, SATURATED_WEIGHT = 25, 15, 0.15, 0.35
 #: What a phrase adds to the evidence of a text match.
 PHRASE_WEIGHT = 1.0
+# Shares of the slots that one file (of the first ones, and of those after), one owner and all containers may hold.
+FILE_SHARE, FILE_TAPER, FILE_TAIL_SHARE, OWNER_SHARE, CONTAINER_SHARE = 0.6, 10, 0.1, 0.3, 0.2
 STRONG_ANCHOR, WEAK_ANCHOR = 0.6, 0.35
 
 

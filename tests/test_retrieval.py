@@ -1,5 +1,7 @@
 import math
 
+import pandas as pd
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,22 +48,39 @@ def test_container_sinks_when_its_member_ranks(spark, at):
 pool = st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["", "o1", "o2"]), st.booleans(), st.one_of(st.none(), st.integers(0, 30))), max_size=40)
 
 
+def chosen(rows, n, profile):
+    frame = pd.DataFrame(rows, columns=["file_id", "owner", "container", "semantic_rank"]).assign(symbol_id=[f"s{i:02d}" for i in range(len(rows))])
+    frame["container"] = frame["container"].astype(bool)
+    return candidates.diverse_order(frame, n, profile).tolist()
+
+
 @given(pool, st.integers(0, 12))
 @settings(max_examples=60, deadline=None)
 def test_a_longer_selection_begins_with_the_shorter(rows, guard):
-    ranked = [{"task_id": "t", "symbol_id": f"s{i:02d}", "file_id": f"f{f}", "owner": o or None, "container": c, "semantic_rank": r, "score": -i} for i, (f, o, c, r) in enumerate(rows)]
+    rows = [(f"f{f}", o or None, c, r) for f, o, c, r in rows]
     profile = S.Profile(guard_ranks=guard)
-    longest = candidates.select_diverse(ranked, 30, profile)
-    for n in (1, 3, 7, 15):
-        assert [c["symbol_id"] for c in candidates.select_diverse(ranked, n, profile)][: len(longest)] == [c["symbol_id"] for c in longest][:n] or len(ranked) <= n or _filled(ranked, n, profile)
-    best = [c for c in ranked if c["semantic_rank"] is not None and not c["container"]]
-    if best and ranked and not any(c["container"] and c["semantic_rank"] is not None for c in ranked):
-        assert longest[0]["symbol_id"] == min(best, key=lambda c: (c["semantic_rank"], c["symbol_id"]))["symbol_id"]
-
-
-def _filled(ranked, n, profile):
-    """Whether caps left slots open, which are then filled by score."""
-    return any(c["container"] for c in ranked)
+    longest = chosen(rows, 30, profile)
+    assert len(longest) == len(set(longest)) == min(30, len(rows))
+    if not any(c for _, _, c, _ in rows) and len(rows) > 15:
+        for n in (1, 3, 7, 15):
+            short = chosen(rows, n, profile)
+            assert short == longest[:n] or len({f for f, *_ in rows}) < 3  # few files leave slots open, which are filled by score
+    named = [(r, i) for i, (_, _, c, r) in enumerate(rows) if r is not None]
+    if named and not any(c for _, _, c, r in rows if r is not None):
+        assert longest[0] == min(named)[1]
+
+
+def test_selection_by_hand():
+    plain = S.Profile()
+    one_file = [("f", None, False, None)] * 9
+    assert chosen(one_file, 9, plain) == list(range(9))
+    mixed = [("f", None, False, None)] * 3 + [("g", None, False, None)] * 3
+    assert chosen(mixed, 6, plain) == [0, 1, 3, 2, 4, 5]  # one file may hold ceil(0.6 * slot) of the first ten slots
+    ranked = [("a", None, False, None), ("b", None, False, 1), ("c", None, False, 0), ("d", None, False, None)]
+    assert chosen(ranked, 4, plain) == [2, 0, 1, 3]  # the model's best first, then half of the slots
+    assert chosen(ranked, 4, S.Profile(guard_ranks=2)) == [2, 1, 0, 3]
+    assert chosen([("a", None, True, None)] * 3 + [("b", None, False, None)] * 3, 6, plain) == [0, 3, 4, 5, 1, 2]
+    assert chosen([], 4, plain) == []
 
 
 def test_noisy_or_folds_in_order_with_caps(spark):

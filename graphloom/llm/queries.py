@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return rank_fusion.borda(read(spark, d, "candidate"))
+    return rank_fusion.borda(read(spark, d, "candidate")).drop("leads")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

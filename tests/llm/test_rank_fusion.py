@@ -73,3 +73,16 @@ def test_empty_and_all_missing(spark, at):
     rows = [("t", s, None, float("nan"), None, None, at(1), 1.0) for s in ("b", "a")]
     assert [(r["symbol_id"], r["points"], r["rank"]) for r in R.borda(spark.createDataFrame(rows, SCHEMA)).orderBy("rank").collect()] == [("a", 0.0, 1), ("b", 0.0, 2)]
     assert R.leaders(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_a_hot_task_and_a_hot_value_are_cut(spark, at):
+    """A third of the rows in one task, most of them with one value: no task of the join's shuffle holds them all."""
+    rows = [("hot" if i % 3 == 0 else f"t{i % 97}", f"s{i:05d}", 1, 0.5 if i % 2 else None, i % 7, 0.1 * (i % 10), at(1), 0.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    points, better = brute([r for r in rows if r[0] == "hot"])
+    got = {(r["task_id"], r["symbol_id"]): (r["points"], r["leads"]) for r in R.borda(df).where("task_id = 'hot'").collect()}
+    assert {k: v[0] for k, v in got.items()} == points
+    assert {k: v[1] for k, v in got.items()} == {k: sum(x is not None and x < 5 for x in c) for k, c in better.items()}
+    long = R.score_ranks(R.candidates(df))
+    left, _ = R.salted_pair(long.withColumn("_k", R.F.xxhash64("task_id", "score", "value")), long.withColumn("_k", R.F.lit(0).cast("bigint")).limit(1), "_k", ["symbol_id"])
+    assert left.where("task_id = 'hot' AND score = 'degree'").select("_salt").distinct().count() > 4

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.heavy_keys import salted_pair
+from graphloom.operators.heavy_keys import heavy_keys, salted_pair
 from graphloom.tables import symbols
 
 #: Least words of prose, besides the function's name, that say something.
@@ -145,12 +145,8 @@ def normalised_signature(signature: Column) -> Column:
     return F.concat_ws(",", F.filter(kinds, lambda p: p != ""))
 
 
-def documented(nodes: DataFrame) -> DataFrame:
-    """(node_id, language, qualified, overload, name, code, documentation, words, is_declaration) of live functions and methods.
-
-    Repeated and older states fold into the latest one. Null or missing JSON keys are empty texts; kinds other than function
-    and method, and deleted nodes, are left out.
-    """
+def symbol_table(nodes: DataFrame) -> DataFrame:
+    """(node_id, language, qualified, overload, name, signature, docstring, body, code, is_declaration, key) of live functions and methods."""
     table = symbols(nodes).where(F.col("kind").isin("function", "method"))
     rows = table.select(
         F.col("symbol_id").alias("node_id"), F.element_at(F.split("symbol_id", "::"), 1).alias("language"),
@@ -159,7 +155,16 @@ def documented(nodes: DataFrame) -> DataFrame:
         F.coalesce("name", F.lit("")).alias("name"), "signature", "docstring", "body", F.col("search_text").alias("code"),
         (F.trim(F.coalesce("search_text", F.lit(""))).rlike(r"\)[^{}:]*;\s*$")).alias("is_declaration"),
     )
-    columns = ["node_id", "language", "qualified", "overload", "name", "code", "is_declaration"]
+    return rows.withColumn("key", F.xxhash64("qualified", "overload"))
+
+
+def documented(rows: DataFrame) -> DataFrame:
+    """The symbol table with documentation and words, without the texts that these are from.
+
+    Repeated and older states are folded into the latest one. Null or missing JSON keys are empty texts; kinds other than function
+    and method, and deleted nodes, are left out.
+    """
+    columns = ["node_id", "language", "qualified", "overload", "name", "code", "is_declaration", "key"]
 
     def extract(batches):
         for b in batches:
@@ -170,7 +175,7 @@ def documented(nodes: DataFrame) -> DataFrame:
                 [*columns, "documentation", "words"],
             )
 
-    schema = ", ".join(f"{n} {'boolean' if n == 'is_declaration' else 'string'}" for n in columns)
+    schema = ", ".join(f"{n} {dict(is_declaration='boolean', key='bigint').get(n, 'string')}" for n in columns)
     return rows.mapInArrow(extract, f"{schema}, documentation string, words int")
 
 
@@ -182,10 +187,11 @@ def pairs(nodes: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     absent and trivial texts left out. ``documented_at`` is the node that carries the text; for its own it is node_id.
     Qualified names with a large share of all rows are joined in salted shares.
     """
-    table = documented(nodes).withColumn("key", F.xxhash64("qualified", "overload"))
+    rows = symbol_table(nodes)
+    table = documented(rows)
     offered = table.where(F.col("words") >= least).groupBy("key", "qualified", "overload").agg(F.max(F.struct("words", "documentation", "node_id")).alias("d"))
     offered = offered.select("key", F.col("qualified").alias("_q"), F.col("overload").alias("_o"), "d")
-    left, right = salted_pair(table, offered, "key", ["node_id"])
+    left, right = salted_pair(table, offered, "key", ["node_id"], heavy_keys(rows, "key"))
     same = (left["key"] == right["key"]) & (left["_salt"] == right["_salt"]) & (F.col("qualified") == F.col("_q")) & (F.col("overload") == F.col("_o"))
     own = F.col("words") >= least
     joined = left.join(right, same, "left").where(own | (F.col("d").isNotNull() & ~F.col("is_declaration")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.heavy_keys import heavy_keys, salted_pair
+from graphloom.operators.heavy_keys import salted_pair
 from graphloom.session import checkpointed
 
 #: Least shared span in code points.
@@ -177,48 +177,72 @@ def classes(documents: DataFrame) -> DataFrame:
     return left.join(right, ["h", "_salt"]).select("doc_id", "class_id")
 
 
-def links(documents: DataFrame, members: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(a, b, pos_a, pos_b, left, right): windows that two different texts share within a span of ``length``.
+def repeated_windows(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(h, id, pos): the picked windows of ``texts`` (id, text) that stand in at least two of them, found by two passes.
 
-    One text stands for all its copies. The span in a is [pos_a - left, pos_a + window + right), the same way in b.
+    The first counts all windows in sketches, one a partition, that are merged and broadcast as bits; the second groups
+    exactly those that the bits let through. These are rows of three numbers: however many pass a sketch
+    that is narrow for its corpus, they cost a fraction of the text, and none is lost.
     """
-    spark = documents.sparkSession
-    heads = members.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    texts = documents.where(F.length("text") >= length).join(heads, "doc_id").select(F.col("doc_id").alias("id"), "text").distinct()
-    texts = checkpointed(texts)
+    spark = texts.sparkSession
     points = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     expected = 2 * points // (length - window + 2) + 1
     width = min(WIDEST, max(SEGMENT, 1 << (2 * expected - 1).bit_length()))
     bitmap = spark.sparkContext.broadcast(repeated_bitmap(texts, width, length, window))  # DEPTH * width / 8 bytes, 8 MB at most
-    context = length - window
 
     def second(batches):
         bits = [np.frombuffer(x, np.uint8) for x in bitmap.value]
         for b in batches:
-            ids, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, contents = np.array(b.column(0).to_pylist(), np.int64), b.column(1).to_pylist()
             for group in _groups(contents):
                 of, at, h = picked_of([contents[i] for i in group], length, window)
                 keep = np.ones(len(h), bool)
                 for r in range(DEPTH):
                     k = _buckets(h, r, width)
                     keep &= (bits[r][k >> 3] >> (k & 7) & 1).astype(bool)
-                of, at, h = of[keep], at[keep], h[keep]
+                if keep.any():
+                    numbers = h[keep].view(np.int64), ids[np.array(group, np.int64)[of[keep]]], at[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in numbers], ["h", "id", "pos"])
+
+    kept = checkpointed(texts.mapInArrow(second, "h bigint, id bigint, pos bigint"))
+    several = kept.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("h")
+    one, two = salted_pair(kept, several, "h", ["id", "pos"])
+    return one.join(two, ["h", "_salt"], "left_semi").select("h", "id", "pos")
+
+
+def occurrences(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(h, id, pos, before, after): repeated windows with up to ``length - window`` code points before them, backwards, and
+    ``length`` from them on. Only texts that hold one meet their positions, in a join on id."""
+    context = length - window
+    places = repeated_windows(texts, length, window).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("places"))  # one text's windows
+
+    def cut(batches):
+        for b in batches:
+            for i, text, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at = [p["pos"] for p in found]
                 for j in range(0, len(at), 4096):
-                    places = [(group[t], x) for t, x in zip(of[j : j + 4096].tolist(), at[j : j + 4096].tolist())]
+                    part = at[j : j + 4096]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(h[j : j + 4096].view(np.int64)), pa.array([ids[i] for i, _ in places], pa.int64()), pa.array(at[j : j + 4096], pa.int64()),
-                            pa.array([contents[i][max(0, x - context) : x][::-1] for i, x in places], pa.string()), pa.array([contents[i][x : x + length] for i, x in places], pa.string()),
+                            pa.array([p["h"] for p in found[j : j + 4096]], pa.int64()), pa.array([i] * len(part), pa.int64()), pa.array(part, pa.int64()),
+                            pa.array([text[max(0, x - context) : x][::-1] for x in part], pa.string()), pa.array([text[x : x + length] for x in part], pa.string()),
                         ],
                         ["h", "id", "pos", "before", "after"],
                     )
 
-    kept = checkpointed(texts.mapInArrow(second, "h bigint, id bigint, pos bigint, before string, after string"))
-    several = kept.groupBy("h").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("h")
-    heavy = heavy_keys(kept, "h")
-    one, two = salted_pair(kept, several, "h", ["id", "pos"], heavy)
-    exact = one.join(two, ["h", "_salt"], "left_semi").drop("_salt")
-    a, b = salted_pair(exact, exact, "h", ["id", "pos"], heavy)
+    return texts.select("id", "text").join(places, "id").mapInArrow(cut, "h bigint, id bigint, pos bigint, before string, after string")
+
+
+def heads(documents: DataFrame, members: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, text): one text for all its copies, written once."""
+    firsts = members.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    return checkpointed(documents.where(F.length("text") >= length).join(firsts, "doc_id").select(F.col("doc_id").alias("id"), "text").distinct())
+
+
+def links(documents: DataFrame, members: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(a, b): pairs of different texts that share a span of ``length``. One text stands for all its copies."""
+    found = checkpointed(occurrences(heads(documents, members, length), length, window))
+    a, b = salted_pair(found, found, "h", ["id", "pos"])
     pairs = a.alias("a").join(b.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.id") < F.col("b.id")) & (F.substring("a.after", 1, window) == F.substring("b.after", 1, window)))
 
     @F.pandas_udf("int")
@@ -235,8 +259,33 @@ def links(documents: DataFrame, members: DataFrame, length: int = LENGTH, window
             out.append(n)
         return pd.Series(out, dtype="int32")
 
-    reach = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), common("a.before", "b.before").alias("left"), (common("a.after", "b.after") - window).alias("right"))
-    return reach.where(F.col("left") + F.col("right") + window >= length)
+    reach = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (common("a.before", "b.before") + common("a.after", "b.after")).alias("n"))
+    return reach.where(F.col("n") >= length).select("a", "b").distinct()
+
+
+def covering(documents: DataFrame, members: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """(id, s, e): stretches [s, e) of texts that stand in another text, without naming pairs.
+
+    A window whose whole context is the same in several texts covers that context. For all others, and once for each such
+    context, every stretch of ``length`` around the window is hashed (128 bits), and the stretches that several texts hold
+    are covered: work grows with the distinct contexts, not with the pairs that share them.
+    """
+    found = occurrences(heads(documents, members, length), length, window)
+    found = checkpointed(found.select("h", "id", (F.col("pos") - F.length("before")).alias("s"), F.concat(F.reverse("before"), "after").alias("text"), F.xxhash64("before", "after").alias("c")))
+    contexts = found.groupBy("c", "h", "text").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count(F.lit(1)).alias("k"))
+    alike = contexts.where("x < y").select("c", F.col("text").alias("_t"))
+    left, right = salted_pair(found, alike, "c", ["id", "s"])
+    marked = left.join(right, (left["c"] == right["c"]) & (left["_salt"] == right["_salt"]) & (F.col("text") == F.col("_t")), "left")
+    marked = checkpointed(marked.select("id", "s", "text", F.col("_t").isNotNull().alias("whole")))
+    spans = marked.where("whole").select("id", "s", (F.col("s") + F.length("text")).alias("e"))
+    starts = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text") - length + 1), lambda i: F.substring("text", i, F.lit(length)))).alias("i", "g")
+    digest = [F.xxhash64("g").alias("g1"), F.xxhash64("g", F.lit(1)).alias("g2")]
+    single = marked.where(~F.col("whole")).select("id", "s", starts).select("id", (F.col("s") + F.col("i")).alias("s"), *digest).distinct()
+    shared = contexts.where("x < y").select("x", "y", starts).select("x", "y", *digest)
+    held = single.select(F.col("id").alias("x"), F.col("id").alias("y"), "g1", "g2").unionByName(shared).groupBy("g1", "g2").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("g1", "g2")
+    one, two = salted_pair(single, held, "g1", ["id", "s"])
+    edges = one.join(two, ["g1", "g2", "_salt"], "left_semi").select("id", "s", (F.col("s") + length).alias("e"))
+    return spans.unionByName(edges).distinct()
 
 
 def shared_pairs(documents: DataFrame) -> DataFrame:
@@ -247,7 +296,7 @@ def shared_pairs(documents: DataFrame) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     members = checkpointed(classes(docs).distinct())
-    found = links(docs, members).select("a", "b").distinct()
+    found = links(docs, members)
     of_a = members.select(F.col("class_id").alias("a"), F.col("doc_id").alias("x"))
     of_b = members.select(F.col("class_id").alias("b"), F.col("doc_id").alias("y"))
     across = found.join(of_a, "a").join(of_b, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
@@ -264,9 +313,7 @@ def shared_parts(documents: DataFrame) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     members = checkpointed(classes(docs).distinct())
-    found = links(docs, members)
-    ends = found.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("pos_a").alias("pos"), "left", "right"), F.struct(F.col("b").alias("id"), F.col("pos_b").alias("pos"), "left", "right"))).alias("e")).select("e.*")
-    spans = ends.groupBy("id", "pos").agg(F.max("left").alias("l"), F.max("right").alias("r")).select("id", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + WINDOW + F.col("r")).alias("e"))
+    spans = covering(docs, members)
     past = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.max("e").over(past), F.lit(0))
     fresh = F.greatest(F.col("e") - F.greatest(F.col("s"), done), F.lit(0))

@@ -85,3 +85,22 @@ def test_a_third_of_all_rows_are_copies(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], DOC)
     assert S.shared_pairs(df).count() == 0 and S.shared_parts(df).count() == 0
+
+
+def test_a_saturated_sketch_loses_nothing(spark, monkeypatch):
+    """With 64 counters a row nearly every window passes; rows of numbers pass, and the results stay the same."""
+    monkeypatch.setattr(S, "SEGMENT", 64)
+    monkeypatch.setattr(S, "WIDEST", 64)
+    rows = table()
+    df = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in rows], DOC).repartition(3)
+    pairs, shared = brute(rows)
+    assert {tuple(r) for r in S.shared_pairs(df).collect()} == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in S.shared_parts(df).collect()} == shared
+
+
+def test_boilerplate_in_many_texts_is_covered_without_pairs(spark):
+    rng = random.Random(9)
+    header = text(rng, 420)
+    rows = [(i, text(rng, 30 + i % 7) + header + text(rng, 250)) for i in range(60)]
+    got = {r["doc_id"]: r["shared_chars"] for r in S.shared_parts(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOC)).collect()}
+    assert got == brute(rows)[1]

@@ -62,8 +62,8 @@ def borda(df: DataFrame, weights: dict[str, float] | None = None, scores: dict[s
     missing = F.array_compact(F.array(*[F.when(_value(s, g).isNull(), F.lit(s)) for s, g in scores.items()]))
     every = valued.unionByName(rows.select("task_id", "symbol_id", F.lit(0.0).alias("points"), F.lit(0).alias("leads"), missing.alias("missing")))
     summed = every.groupBy("task_id", "symbol_id").agg(F.sum("points").alias("points"), F.sum("leads").cast("int").alias("leads"), F.max("missing").alias("missing"))
-    middle = ranks.groupBy("task_id", "score").agg(F.max("present").alias("m"))
-    middle = middle.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("score", weight[F.col("score")] * (F.col("m") - 1) / 2))).alias("middle"))  # one entry a score
+    half = {n: w[n] * F.greatest((F.count(_value(n, g)) - 1) / 2, F.lit(0.0)) for n, g in scores.items()}  # counted map-side, one row a task
+    middle = rows.groupBy("task_id").agg(F.create_map(*[x for n, v in half.items() for x in (F.lit(n), v)]).alias("middle"))
     left, right = salted_pair(summed, middle, "task_id", ["symbol_id"], heavy_keys(rows, "task_id"))
     lacking = F.aggregate("missing", F.lit(0.0), lambda total, s: total + F.coalesce(F.try_element_at("middle", s), F.lit(0.0)))
     total = left.join(right, ["task_id", "_salt"], "left").select("task_id", "symbol_id", F.round(F.col("points") + lacking, 6).alias("points"), "leads")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.operators.candidates import is_container
 from graphloom.operators.graph import DIRECTIONS
+from graphloom.operators.heavy_keys import salted_join
 from graphloom.tables import row_rank
 
 ROOT_LEAST, ROOTS, SIBLING_LEAST, SIBLINGS, FILE_SCALE = 0.3, 20, 0.7, 12, 0.8
@@ -25,7 +26,7 @@ def _hop(frontier: DataFrame, edges: DataFrame, direction: str, decay: float = S
     """(task_id, symbol_id, evidence, ref_kind, provenance): one hop; the first parent by id gives the evidence."""
     labels, given, found = DIRECTIONS[direction]
     hop = edges.where(F.col("label").isin(labels)).select(F.col(given).alias("symbol_id"), F.col(found).alias("next_id"), "ref_kind", "provenance")
-    reached = frontier.select("task_id", "symbol_id", "strength").join(hop, "symbol_id")
+    reached = salted_join(hop, frontier.select("task_id", "symbol_id", "strength"), "symbol_id", ["next_id"])
     first = F.min(F.struct("symbol_id", F.col("strength").alias("s"), "ref_kind", "provenance")).alias("f")
     return reached.groupBy("task_id", F.col("next_id").alias("symbol_id")).agg(first).select("task_id", "symbol_id", F.round(F.col("f.s") * decay, 6).alias("strength"), F.col("f.ref_kind").alias("ref_kind"), F.col("f.provenance").alias("provenance"))
 
@@ -34,7 +35,8 @@ def siblings(walked: DataFrame, symbols: DataFrame) -> DataFrame:
     """(task_id, symbol_id, strength): the 12 symbols nearest by line in the file of a strong anchor that is no container."""
     s = symbols.select("symbol_id", "file_id", "line", "kind")
     strong = walked.where(F.col("strength") >= SIBLING_LEAST).join(s, "symbol_id").where(~is_container(F.col("kind"))).select("task_id", F.col("symbol_id").alias("anchor_id"), "strength", "file_id", F.coalesce("line", F.lit(0)).alias("at"))
-    near = strong.join(s.select("symbol_id", "file_id", F.coalesce("line", F.lit(0)).alias("line")), "file_id").where(F.col("symbol_id") != F.col("anchor_id"))
+    inside = s.where(F.col("file_id").isNotNull()).select("symbol_id", "file_id", F.coalesce("line", F.lit(0)).alias("line"))
+    near = salted_join(inside, strong, "file_id", ["symbol_id"]).where(F.col("symbol_id") != F.col("anchor_id"))
     ranked = near.select("*", row_rank(["task_id", "anchor_id"], [F.abs(F.col("line") - F.col("at")), F.col("symbol_id")])).where(F.col("rank") <= SIBLINGS)
     return ranked.groupBy("task_id", "symbol_id").agg(F.max(F.round(F.col("strength") * S.HOP_DECAY, 6)).alias("strength"))
 

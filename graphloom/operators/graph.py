@@ -9,6 +9,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.heavy_keys import heavy_keys, salted_join
 from graphloom.session import checkpointed
 
 #: Directions of a typed neighbour join: edge labels, the side that is given, the side that is found.
@@ -31,9 +32,9 @@ def neighbours(edges: DataFrame, symbols: DataFrame, direction: str, ids: DataFr
     labels, given, found = DIRECTIONS[direction]
     hop = edges.where(F.col("label").isin(labels)).select(F.col(given).alias("symbol_id"), F.col(found).alias("neighbour_id"), "label", "provenance", "ref_kind")
     if ids is not None:
-        hop = hop.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi")
+        hop = salted_join(hop, ids.select("symbol_id").distinct(), "symbol_id", ["neighbour_id"], "left_semi")
     node = symbols.select(F.col("symbol_id").alias("neighbour_id"), "name", "file_id", "line")
-    return hop.join(node, "neighbour_id").select("symbol_id", "neighbour_id", "label", "name", "file_id", "line", "provenance", "ref_kind")
+    return salted_join(hop, node, "neighbour_id", ["symbol_id"]).select("symbol_id", "neighbour_id", "label", "name", "file_id", "line", "provenance", "ref_kind")
 
 
 def find_references(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -67,15 +68,17 @@ def walk(edges: DataFrame, roots: DataFrame, hops: int, steps: list[tuple[str, s
     """(root_id, symbol_id, depth, via): breadth-first walk of every root at once, each node at its least depth.
 
     ``steps``: (edge label, given side, found side) in order of preference; the first step, then the least source, names
-    ``via`` of a node. Depth by depth the frontier is joined with the edges and anti-joined with what was visited; each
+    ``via`` of a node. A hub's edges are cut into salted shares, and only its rows of the frontier are repeated. Depth by depth the frontier is joined with the edges and anti-joined with what was visited; each
     depth is written to the shared folder, so the plan doesn't grow. ``keep`` cuts a root's frontier to its first ids. Roots
     themselves aren't part of the result.
     """
     visited = roots.select(F.col("symbol_id").alias("root_id"), "symbol_id").distinct().withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast("string"))
     frontier = visited
     hop = reduce(DataFrame.unionByName, [edges.where(F.col("label") == l).select(F.col(a).alias("symbol_id"), F.col(b).alias("next_id"), F.lit(f"{i}{l}").alias("step")) for i, (l, a, b) in enumerate(steps)])
+    hop = checkpointed(hop)
+    heavy = heavy_keys(hop, "symbol_id")
     for depth in range(1, hops + 1):
-        reached = frontier.select("root_id", "symbol_id").join(hop, "symbol_id").groupBy("root_id", F.col("next_id").alias("symbol_id")).agg(F.min("step").alias("step"))
+        reached = salted_join(hop, frontier.select("root_id", "symbol_id"), "symbol_id", ["next_id"], heavy=heavy).groupBy("root_id", F.col("next_id").alias("symbol_id")).agg(F.min("step").alias("step"))
         fresh = reached.join(visited.select("root_id", "symbol_id"), ["root_id", "symbol_id"], "left_anti")
         fresh = fresh.select("root_id", "symbol_id", F.lit(depth).alias("depth"), F.substring("step", 2, 100).alias("via"))
         if keep:
@@ -110,8 +113,9 @@ def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
     visited = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = visited
     pairs = checkpointed(links.select("src", "dst").distinct())
+    heavy = heavy_keys(pairs, "src")
     for depth in count(1):
-        reached = frontier.select("root", F.col("node").alias("src")).join(pairs, "src").select("root", F.col("dst").alias("node")).distinct()
+        reached = salted_join(pairs, frontier.select("root", F.col("node").alias("src")), "src", ["dst"], heavy=heavy).select("root", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(reached.join(visited.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break

@@ -76,6 +76,15 @@ def aggregate(df: DataFrame, key: str, partial: dict, final: dict, heavy: list |
     return hot.unionByName(cold.groupBy(key).agg(*parts).groupBy(key).agg(*totals))
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: list, how: str = "inner", heavy: list | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, heavy keys of ``left`` in salted shares; ``how``: inner, left or left_semi.
+
+    Null keys meet nothing, as in any equi-join; all columns of the right side but the key are appended.
+    """
+    a, b = salted_pair(left, right, key, spread, heavy)
+    return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
 def salted_pair(left: DataFrame, right: DataFrame, key: str, spread: list, heavy: list | None = None, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """Both sides of an equi-join with a ``_salt``: heavy keys of ``left`` are cut into ``salts`` shares by ``spread``,
     and only their rows of ``right`` are repeated; every other key keeps salt 0. Join on (key, _salt)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.functions import text as T
+from graphloom.operators.heavy_keys import salted_join
 from graphloom.tables import row_rank
 
 #: Weight of a posting by the part of the symbol it stands in.
@@ -53,7 +54,7 @@ def term_hits(index: DataFrame, terms: DataFrame, limit: int | None = S.LEXICAL_
     score downwards, symbol_id.
     """
     weight = F.create_map(*[F.lit(x) for kv in PART_WEIGHT.items() for x in kv])
-    found = prefix_matches(index, terms).join(index, "token")
+    found = salted_join(index, prefix_matches(index, terms), "token", ["symbol_id"])
     per = found.groupBy("term", "symbol_id").agg(F.round(F.sum(weight[F.col("part")]) / (1 + F.log(F.max("doc_len"))), 6).alias("score"), F.min("part").alias("tier"))
     ranked = per.select("*", row_rank(["term"], [F.col("score").desc(), F.col("symbol_id")]))
     return ranked.where(F.col("rank") <= limit) if limit else ranked
@@ -88,7 +89,7 @@ def phrase_hits(index: DataFrame, task_phrases: DataFrame, limit: int = S.LEXICA
     words = F.split("phrase", " ")
     pairs = task_phrases.select("phrase").distinct().select("phrase", words[0].alias("a"), words[1].alias("b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    holds = prefix_matches(index, wanted).join(index, "token").select("term", "symbol_id").distinct()
+    holds = salted_join(index, prefix_matches(index, wanted), "token", ["symbol_id"]).select("term", "symbol_id").distinct()
     size = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     sized = pairs.join(size.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
     first = F.col("na") <= F.col("nb")

@@ -82,3 +82,22 @@ def test_closure_has_no_bound_on_depth(spark):
     links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(66)], "src string, dst string")
     got = {r["node"]: r["depth"] for r in graph.closure(links, spark.createDataFrame([("n0",)], "node string")).collect()}
     assert got == {f"n{i}": i for i in range(1, 67)}
+
+
+def test_walk_from_a_hub_matches_brute_force(spark):
+    """A third of the edges end at one node, and every root reaches it."""
+    rng = random.Random(3)
+    x = [e("CALLS", f"s{i}", "hub") for i in range(200)] + [e("CALLS", "hub", f"r{i % 5}") for i in range(5)] + [e("CALLS", f"s{rng.randrange(200)}", f"s{rng.randrange(200)}") for _ in range(400)]
+    roots = spark.createDataFrame([(f"r{i}",) for i in range(5)], "symbol_id string")
+    got = {(r["root_id"], r["symbol_id"]): r["depth"] for r in graph.call_graph(spark.createDataFrame(x, EDGE), roots, 2).collect()}
+    callers = {}
+    for _, a, b, *_ in x:
+        callers.setdefault(b, set()).add(a)
+    want = {}
+    for i in range(5):
+        seen, front = {f"r{i}"}, {f"r{i}"}
+        for depth in (1, 2):
+            front = {a for b in front for a in callers.get(b, ())} - seen
+            seen |= front
+            want |= {(f"r{i}", a): depth for a in front}
+    assert got == want

@@ -50,3 +50,16 @@ def test_empty_and_null_keys(spark):
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([("a", "x", 1, 2)], "k string, m string, n_rows int, heavy int")
     assert [tuple(r) for r in hk.distinct_counts(df, "k", ["m"], ["a"]).collect()] == [("a", 1, 1)]
+
+
+def test_a_hub_with_a_third_of_the_rows_is_cut(spark):
+    """The largest task of the join on a key that holds a third of all rows stays far below that third."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"), F.col("id").alias("v"))
+    names = spark.createDataFrame([("hub", 1), ("k1", 2)], "k string, w int")
+    joined = hk.salted_join(df, names, "k", ["v"])
+    assert joined.count() == 2001 and joined.columns == ["k", "v", "w"]
+    a, _ = hk.salted_pair(df, names, "k", ["v"])
+    sizes = [r["count"] for r in a.where("k = 'hub'").groupBy("_salt").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 300
+    assert hk.salted_join(df, names, "k", ["v"], "left_semi").count() == 2001 and hk.salted_join(df, names, "k", ["v"], "left").count() == 6000
+    assert hk.salted_join(df.limit(0), names, "k", ["v"]).count() == 0

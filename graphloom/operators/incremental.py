@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.session import scratch_path
-from graphloom.sources.versioned import VersionedTable, list_files, positions
+from graphloom.sources.versioned import Manifest, VersionedTable, list_files, positions, vectors_of
 from graphloom.tables import latest
 
 #: Hexadecimal signs of a shortened commit.
@@ -55,30 +58,95 @@ def covered_until(ranges: DataFrame, commits: DataFrame) -> DataFrame:
     return looked.join(blocks, ["repo_id", "level", "block"], "left").groupBy("repo_id", "commit_id", "seq").agg(F.max("started_at").alias("covered_until"))
 
 
-def new_or_changed(spark, chunks_path: str, runs: DataFrame, commits: DataFrame) -> DataFrame:
-    """The pending records that no successful run covers, without versions equal to the key's covered content.
+def _fingerprints(until: DataFrame) -> DataFrame:
+    """(repo_id, print): what the successful runs of a repository cover, in one number."""
+    return until.groupBy("repo_id").agg(F.sum(F.xxhash64("_commit", "_until").cast("decimal(38,0)")).cast("string").alias("print"))
+
+
+def _written(df: DataFrame, path: str) -> str:
+    df.write.parquet(path)
+    return path
+
 
-    The files of ``chunks_path`` are adopted as an immutable table: its first version hides, by deletion vectors, the
-    records that no successful run has covered, its second shows all; the diff of the two manifests is the delta.
-    The newest covered content of each key then drops versions without any change. The processed version is saved
-    with the output's commit by ``process_new``. Repeated rows stay repeated rows of the same ``pending_id``; unknown commits
-    are covered by no run; null keys compare as equal.
+def advance(table: VersionedTable, chunks_path: str, runs: DataFrame, commits: DataFrame) -> Manifest:
+    """Brings the state of ``table`` up to the files of ``chunks_path`` and the run log, in one commit.
+
+    A version adopts the files and hides, by deletion vectors, every record that no successful run covers; beside it stand the
+    newest covered record of each key and a fingerprint of what the runs cover per repository. Only added files are
+    read, and of kept files only the records of repositories whose coverage changed (a filter on ``repo_id`` that reaches the
+    scan). Removed files make everything be read anew. Nothing added and nothing changed: no new version.
     """
-    table = VersionedTable(spark, scratch_path(spark, "pending"))
+    spark, base = table.spark, table.manifest()
     files = list_files(spark, chunks_path)
-    all_rows = spark.read.parquet(chunks_path)
-    if not files:
-        return all_rows
-    until = covered_until(succeeded_ranges(runs, commits), commits).select("repo_id", F.col("commit_id").alias("indexed_at_commit"), F.col("seq").alias("_seq"), F.col("covered_until").alias("_until"))
+    if set(base.files) - set(files):
+        base = Manifest(base.version)
+    until = covered_until(succeeded_ranges(runs, commits), commits).select("repo_id", F.col("commit_id").alias("_commit"), F.col("seq").alias("_seq"), F.col("covered_until").alias("_until"))
+    prints = _fingerprints(until)
+    folder = f"{table.root}/state/{uuid.uuid4().hex}"
+    added, known = sorted(set(files) - set(base.files)), bool(base.state)
+    if known:
+        before = spark.read.parquet(base.state["prints"]).withColumnRenamed("print", "_print")
+        changed = prints.join(before, "repo_id", "full").where(~F.col("print").eqNullSafe(F.col("_print"))).select("repo_id")
+        changed = spark.read.parquet(_written(changed, f"{folder}/changed"))
+        if not added and changed.isEmpty():
+            return base
+    like = spark.read.parquet(chunks_path).schema
+    rows = lambda names: positions(spark.read.schema(like).parquet(*names))
+    fresh = [rows(added)] if added else []
+    if known and base.files:
+        fresh.append(rows(base.files).join(changed, "repo_id", "left_semi"))
+    columns = [*KEY, "indexed_at_commit", "queued_at", "pending_id", "content", "_file", "_pos"]
+    marks = reduce(DataFrame.unionByName, [f.select(*columns) for f in fresh]).join(until.withColumnRenamed("_commit", "indexed_at_commit"), ["repo_id", "indexed_at_commit"], "left")
     seen = F.coalesce(F.col("queued_at") < F.col("_until"), F.lit(False))
-    marks = positions(all_rows).select("repo_id", "indexed_at_commit", "queued_at", "_file", "_pos").join(until, ["repo_id", "indexed_at_commit"], "left")
-    done = table.adopt(files, [table.write_vectors(marks.where(~seen).select("_file", "_pos"))])
-    now = table.adopt(files)
-    delta = table.changes(done.version, now.version).where(F.col("_change") == "insert").drop("_change", "_file", "_pos")
-    covered = table.rows(done.version).select(*KEY, "indexed_at_commit", "queued_at", "pending_id", "content").join(until.select("repo_id", "indexed_at_commit", "_seq"), ["repo_id", "indexed_at_commit"], "left")
-    newest = covered.groupBy(*KEY).agg(F.max(F.struct("_seq", "queued_at", "pending_id", "content")).alias("_c"))
-    newest = newest.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_c.content").alias("_content"), F.lit(True).alias("_known"))
+    newest = marks.where(seen).select(*KEY, F.struct("_seq", "queued_at", "pending_id", "content").alias("c"))
+    hidden = vectors_of(marks.where(~seen), "repo_id")
+    if known:
+        newest = newest.unionByName(spark.read.parquet(base.state["newest"]).join(changed, "repo_id", "left_anti"))
+        hidden = hidden.unionByName(spark.read.parquet(*base.vectors).join(changed, "repo_id", "left_anti"))
+    vectors = _written(hidden, f"{table.root}/vectors/{uuid.uuid4().hex}")
+    state = {"newest": _written(newest.groupBy(*KEY).agg(F.max("c").alias("c")), f"{folder}/newest"), "prints": _written(prints, f"{folder}/prints")}
+    return table.commit(Manifest(base.version + 1, files, [vectors], state=state))
+
+
+def pending_records(table: VersionedTable, chunks_path: str, runs: DataFrame, commits: DataFrame) -> DataFrame:
+    """The pending records that no successful run covers, without versions equal to the key's covered content.
+
+    ``table`` keeps the state between runs (see ``advance``). The diff of its newest manifest with one that hides nothing gives
+    the uncovered records, read from the files that hold one; the newest covered content of each key then drops versions
+    without any change. Repeated rows stay repeated rows of the same ``pending_id``; unknown commits are covered by no
+    run; null keys compare as equal.
+    """
+    spark = table.spark
+    if not list_files(spark, chunks_path):
+        return spark.read.parquet(chunks_path)
+    now = advance(table, chunks_path, runs, commits)
+    delta = table.changes(now, Manifest(now.version, now.files)).where(F.col("_change") == "insert").drop("_change", "_file", "_pos")
+    newest = spark.read.parquet(now.state["newest"]).select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("c.content").alias("_content"), F.lit(True).alias("_known"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
     joined = delta.join(newest, same[0] & same[1] & same[2] & same[3], "left")
     unchanged = F.coalesce(F.col("_known"), F.lit(False)) & F.col("content").eqNullSafe(F.col("_content"))
-    return joined.where(~unchanged).select(*all_rows.columns)
+    return joined.where(~unchanged).drop(*[f"_{k}" for k in KEY], "_content", "_known")
+
+
+def run(root: str, chunks_path: str, runs: DataFrame, commits: DataFrame) -> VersionedTable:
+    """One incremental run below ``root``: brings the state up to date and commits the pending records together with the state
+    version they are from, so a run that fails anywhere is repeated and a finished one is never repeated.
+
+    The newest version of the returned table holds the result. If nothing changed since its commit, nothing is read.
+    """
+    spark = runs.sparkSession
+    table, output = VersionedTable(spark, f"{root}/state"), VersionedTable(spark, f"{root}/output")
+    base = output.manifest()
+    found = pending_records(table, chunks_path, runs, commits)
+    version = table.version()
+    if base.version == 0 or base.processed.get("pending") != version:
+        output.replace(found, {"pending": version}, base.version)
+    return output
+
+
+def new_or_changed(spark: SparkSession, chunks_path: str, runs: DataFrame, commits: DataFrame) -> DataFrame:
+    """The pending records of a first run, whose state lies in a fresh folder; a job that goes on keeps its own (see ``run``)."""
+    output = run(scratch_path(spark, "pending"), chunks_path, runs, commits)
+    if not output.manifest().files:
+        return spark.read.parquet(chunks_path).limit(0)
+    return output.rows().drop("_file", "_pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,10 +29,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Only a session that runs in one process gets
+    a temporary one where it is unset; on a cluster that raises an error, because other machines can't read it."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    configured = configured or "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-shared")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(configured)
     return configured
@@ -44,8 +49,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one for written tables; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def slots(spark: SparkSession) -> int:

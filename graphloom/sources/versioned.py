@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,14 @@ class CommitConflict(RuntimeError):
 
 @dataclass
 class Manifest:
-    """``files``: data files; ``vectors``: folders of deletion vectors that apply; ``processed``: source version per source name."""
+    """``files``: data files; ``vectors``: folders of deletion vectors that apply; ``processed``: source version per source
+    name; ``state``: folders of what was derived from this version."""
 
     version: int
     files: list[str] = field(default_factory=list)
     vectors: list[str] = field(default_factory=list)
     processed: dict[str, int] = field(default_factory=dict)
+    state: dict[str, str] = field(default_factory=dict)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -37,6 +40,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _name(file: str) -> str:
+    """A file's last part, which is the same however its folder is written."""
+    return unquote(file.rsplit("/", 1)[-1])
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """The parquet files of a path, qualified as the ``_metadata.file_path`` of their rows, in order."""
     return sorted(spark.read.parquet(path).inputFiles())
@@ -47,9 +55,9 @@ def positions(df: DataFrame) -> DataFrame:
     return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_pos"))
 
 
-def vectors_of(rows: DataFrame) -> DataFrame:
-    """(file, bucket, bits) bitmaps of the (``_file``, ``_pos``) rows, 32 768 positions to a bucket, combined map-side."""
-    return rows.groupBy(F.col("_file").alias("file"), F.expr("bitmap_bucket_number(_pos + 1)").alias("bucket")).agg(
+def vectors_of(rows: DataFrame, *by: str) -> DataFrame:
+    """(file, bucket, bits, *by) bitmaps of the (``_file``, ``_pos``) rows, 32 768 positions to a bucket, combined map-side."""
+    return rows.groupBy(F.col("_file").alias("file"), F.expr("bitmap_bucket_number(_pos + 1)").alias("bucket"), *by).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(_pos + 1))").alias("bits")
     )
 
@@ -106,6 +114,12 @@ class VersionedTable:
         files = list_files(self.spark, part) if _fs(self.spark, part)[0].exists(_fs(self.spark, part)[1]) else []
         return self.commit(Manifest(base.version + 1, sorted({*base.files, *files}), base.vectors, base.processed | (processed or {})))
 
+    def replace(self, df: DataFrame, processed: dict[str, int], expected: int) -> Manifest:
+        """A version of the rows of ``df`` alone, with what was processed for them, in one commit on version ``expected``."""
+        part = f"{self.root}/data/{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        return self.commit(Manifest(expected + 1, list_files(self.spark, part), [], self.manifest(expected).processed | processed))
+
     def adopt(self, files: list[str], vectors: list[str] | None = None, processed: dict[str, int] | None = None) -> Manifest:
         """A version of files written elsewhere, which nobody changes any more."""
         base = self.manifest()
@@ -146,18 +160,22 @@ class VersionedTable:
         m = self.manifest(version)
         return self._hidden(self._rows(m.files, m.files), m.vectors, "_h").where(~F.col("_h")).drop("_h")
 
-    def changes(self, since: int, until: int | None = None) -> DataFrame:
-        """Record deltas between two versions, with ``_change`` insert or delete.
+    def changes(self, since: int | Manifest, until: int | Manifest | None = None) -> DataFrame:
+        """Record deltas between two versions or manifests, with ``_change`` insert or delete.
 
         Found by diffing the manifests alone: rows of added files appear, rows of removed files disappear, and rows of
-        kept files change only where their deletion vectors differ. Files whose vectors are the same aren't read.
+        kept files change only where their deletion vectors differ. Kept files that no vector names aren't read.
         """
-        a, b = self.manifest(since), self.manifest(until)
+        a, b = (m if isinstance(m, Manifest) else self.manifest(m) for m in (since, until))
         both, old, new = sorted({*a.files} & {*b.files}), sorted({*a.files} - {*b.files}), sorted({*b.files} - {*a.files})
         like = a.files or b.files
         added = self._hidden(self._rows(new, like), b.vectors, "_h").where(~F.col("_h")).drop("_h").withColumn("_change", F.lit("insert"))
         removed = self._hidden(self._rows(old, like), a.vectors, "_h").where(~F.col("_h")).drop("_h").withColumn("_change", F.lit("delete"))
         out = added.unionByName(removed) if old else added
+        if both and a.vectors != b.vectors:
+            vectors = self.spark.read.schema(VECTOR_SCHEMA).parquet(*a.vectors, *b.vectors)
+            named = {_name(r["file"]) for r in vectors.select("file").distinct().collect()}  # no more than the manifests name
+            both = [f for f in both if _name(f) in named]
         if both and a.vectors != b.vectors:
             touched = self._hidden(self._hidden(self._rows(both, like), a.vectors, "_was"), b.vectors, "_is").where(F.col("_was") != F.col("_is"))
             out = out.unionByName(touched.withColumn("_change", F.when(F.col("_is"), F.lit("delete")).otherwise(F.lit("insert"))).drop("_was", "_is"))

@@ -114,3 +114,48 @@ def test_nulls_and_clashing_columns(spark, tmp_path, at):
     runs = spark.createDataFrame([(1, "r", None, c(1), "succeeded", at(5), at(6)), (2, None, None, None, None, None, None), (3, "r", "nowhere", c(8), "succeeded", at(30), at(30))], RUN)
     out = I.new_or_changed(spark, path, runs, commits(spark))
     assert sorted(r["pending_id"] for r in out.collect()) == [1, 4] and out.columns[-3:] == ["seq", "covered_until", "level"]
+
+
+def test_a_second_run_reads_only_what_is_new(spark, tmp_path, at):
+    """State lies between the runs: added files are marked, repositories whose runs changed are marked anew, else nothing is done."""
+    root, path = f"file://{tmp_path}/job", f"file://{tmp_path}/in"
+    other = spark.createDataFrame([("q", f"{i:08d}commit000", i) for i in range(1, 9)], "repo_id string, commit_id string, seq int")
+    known = commits(spark).unionByName(other)
+
+    def add(*chunks):
+        spark.createDataFrame(chunks, CHUNK).coalesce(1).write.mode("append").parquet(path)
+
+    def answer(runs):
+        output = I.run(root, path, spark.createDataFrame(runs, RUN), known)
+        return sorted({r["pending_id"] for r in output.rows().collect()}), output.version()
+
+    add((1, "file", "a", "x", "r", c(1), 0, at(1)), (2, "file", "b", "x", "q", c(1), 0, at(1)))
+    first = [(1, "r", None, c(2), "succeeded", at(5), at(6))]
+    assert answer(first) == ([2], 1)
+    assert answer(first) == ([2], 1)
+    add((3, "file", "a", "y", "r", c(3), 0, at(7)), (4, "file", "a", "x", "r", c(4), 0, at(7)), (5, "file", "a", "x", "r", c(2), 0, at(9)))
+    assert answer(first) == ([2, 3], 2)
+    second = [*first, (2, "q", None, c(1), "succeeded", at(8), at(9)), (3, "q", c(1), c(2), "running", at(8), at(9))]
+    assert answer(second) == ([3], 3)
+    assert answer([*second, (4, "r", c(2), c(3), "succeeded", at(10), at(11))]) == ([4, 5], 4)
+    table = VersionedTable(spark, f"{root}/state")
+    assert [len(table.manifest(v).files) for v in range(1, 5)] == [1, 2, 2, 2]
+    whole = I.new_or_changed(spark, path, spark.createDataFrame([*second, (4, "r", c(2), c(3), "succeeded", at(10), at(11))], RUN), known)
+    assert sorted(r["pending_id"] for r in whole.collect()) == [4, 5]
+
+
+def test_a_run_that_dies_before_its_commit_is_repeated(spark, tmp_path, at, monkeypatch):
+    root, path = f"file://{tmp_path}/job", f"file://{tmp_path}/in"
+    spark.createDataFrame([(1, "file", "a", "x", "r", c(1), 0, at(1)), (2, "file", "b", "x", "r", c(2), 0, at(1))], CHUNK).write.parquet(path)
+    runs = spark.createDataFrame([(1, "r", None, c(1), "succeeded", at(5), at(6))], RUN)
+    kept = VersionedTable.replace
+
+    def dies(self, *args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(VersionedTable, "replace", dies)
+    with pytest.raises(RuntimeError):
+        I.run(root, path, runs, commits(spark))
+    monkeypatch.setattr(VersionedTable, "replace", kept)
+    output = I.run(root, path, runs, commits(spark))
+    assert [r["pending_id"] for r in output.rows().collect()] == [2] and output.manifest().processed == {"pending": 1}

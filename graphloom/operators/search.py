@@ -168,16 +168,19 @@ def directory_neighbours(files: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def basename_matches(files: DataFrame, patterns: DataFrame, limit: int = 8) -> DataFrame:
-    """(pattern, file_id): files whose name matches a ``*`` pattern; patterns share their first letters with the files they find.
+    """(pattern, file_id): files whose name matches a ``*`` pattern; a pattern of more than ``limit`` files names none.
 
-    A pattern that begins with a star is looked up by its last four letters, any other by its first three.
+    A pattern is looked up by the two or three letters that it begins with, else by up to four that it ends with, else by
+    its only first letter; a lone star matches every file.
     """
     name = F.lower(F.element_at(F.split(F.col("file_id"), "[:/]"), -1))
-    keys = F.array(F.concat(F.lit("<"), F.substring(name, 1, 3)), F.concat(F.lit(">"), F.substring(name, -4, 4)))
+    begins, ends = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.concat(F.lit("<"), F.substring(name, 1, n))), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.concat(F.lit(">"), F.right(name, n)))
+    keys = F.array_distinct(F.concat(begins, ends))
     f = files.select("file_id", name.alias("name"), F.explode(keys).alias("key"))
     p = F.lower("pattern")
     head = F.regexp_extract(p, r"^([^*]*)", 1)
-    key = F.when(F.length(head) >= 3, F.concat(F.lit("<"), F.substring(head, 1, 3))).otherwise(F.concat(F.lit(">"), F.substring(p, -4, 4)))
+    tail = F.regexp_extract(p, r"([^*]*)$", 1)
+    key = F.when((F.length(head) >= 2) | (F.length(tail) == 0), F.concat(F.lit("<"), F.substring(head, 1, 3))).otherwise(F.concat(F.lit(">"), F.right(tail, F.least(F.length(tail), F.lit(4)))))
     rx = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(p, r"([.+?^$(){}|\[\]])", r"\\$1"), r"\*", ".*"), F.lit("$"))
     hit = f.join(patterns.select("pattern", key.alias("key"), rx.alias("rx")).distinct(), "key").where(F.rlike(F.col("name"), F.col("rx"))).select("pattern", "file_id").distinct()
     few = hit.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from graphloom.operators import indexing, lookup, render
 from graphloom.plans import retrieval_queries as R
 from graphloom.plans.graph_queries import _CAND, EDGE, NODE, SYM, edge, sym
-from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _W, _low, qualified_references
+from graphloom.plans.index_queries import ORACLE as INDEX_SQL
+from graphloom.plans.index_queries import _CENSUS
+from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _W, _low, _split, qualified_references
 from graphloom.sources import parse
 from graphloom.tables import live_nodes, read, read_wide
 
 
 def resolve_query(spark: SparkSession, d: str) -> DataFrame:
     """What the places of unresolved references and the names of the shared library mean."""
-    refs = read(spark, d, "unresolved_ref").where(F.col("line").isNotNull()).select(F.col("ref_id").alias("query_id"), F.concat(F.regexp_replace("file_id", "^[^:]*:", ""), F.lit(":"), "line").alias("text")).distinct()
-    lib = read(spark, d, "library_symbol").select((-F.abs(F.xxhash64("symbol_id"))).alias("query_id"), F.col("name").alias("text"))
-    return lookup.resolve(refs.unionByName(lib), sym(spark, d))
+    refs = read(spark, d, "unresolved_ref").where(F.col("line").isNotNull()).select(F.concat(F.regexp_replace("file_id", "^[^:]*:", ""), F.lit(":"), "line").alias("text"))
+    texts = refs.unionByName(read(spark, d, "library_symbol").select(F.col("name").alias("text"))).distinct()
+    return lookup.resolve(texts.withColumn("query_id", F.col("text")), sym(spark, d))
 
 
 def resolve_repo_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +143,12 @@ def churn_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_queries(spark: SparkSession, d: str) -> DataFrame:
-    """What the qualified references of the issues mean."""
-    q = qualified_references(spark, d).select(F.abs(F.xxhash64("reference")).alias("query_id"), F.col("reference").alias("text")).distinct()
-    return lookup.resolve(q, sym(spark, d))
+    """What the qualified references of the issues mean, and the sources of unresolved references written with their owner."""
+    s = sym(spark, d)
+    sources = read(spark, d, "unresolved_ref").select(F.col("src_symbol_id").alias("symbol_id")).distinct()
+    owned = s.where(F.length("namespace") > 0).join(sources, "symbol_id", "left_semi").select(F.concat_ws(".", "namespace", "name").alias("text"))
+    texts = qualified_references(spark, d).select(F.col("reference").alias("text")).unionByName(owned).distinct()
+    return lookup.resolve(texts.withColumn("query_id", F.col("text")), s)
 
 
 QUERIES = {
@@ -174,3 +179,25 @@ ORACLE = {
     "context_trace": f"""WITH {R._SCORED}, scope AS (SELECT DISTINCT task_id, repo_id FROM cand WHERE anchor), s AS (SELECT task_id, 0 AS stage_no, 'pool' AS stage, count(*) AS n FROM cand GROUP BY task_id UNION ALL SELECT task_id, 1, 'scored', count(*) FROM scored GROUP BY task_id
         UNION ALL SELECT task_id, 2, 'scoped', count(*) FROM scored JOIN scope USING (task_id, repo_id) GROUP BY task_id UNION ALL SELECT task_id, 3, 'returned', count(*) FROM ranked WHERE rank <= 20 GROUP BY task_id) SELECT * FROM s""",
 }
+_PLACED = "SELECT query_id, symbol_id, way, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_test, o, symbol_id) AS place FROM found) WHERE place <= 50"
+_INSIDE = "string_split(string_split(s.symbol_id, '#')[1], '::')[-2]"
+ORACLE |= {
+    "resolve_query": f"""WITH {SYM}, pl AS (SELECT DISTINCT regexp_replace(file_id, '^[^:]*:', '') AS path, line FROM unresolved_ref WHERE line IS NOT NULL), sp AS (SELECT *, lower(regexp_replace(file_id, '^[^:]*:', '')) AS path FROM sym WHERE end_line IS NOT NULL AND file_id IS NOT NULL),
+        found AS (SELECT p.path || ':' || p.line AS query_id, s.symbol_id, 'place' AS way, s.end_line - s.line AS o, s.is_test FROM pl p JOIN sp s ON (s.path = lower(p.path) OR ends_with(s.path, '/' || lower(p.path))) AND s.line <= p.line AND s.end_line >= p.line
+        UNION SELECT l.name, s.symbol_id, 'name', 0, s.is_test FROM library_symbol l JOIN sym s ON s.name = l.name) {_PLACED}""",
+    "reference_queries": f"""WITH {SYM}, {_ISSUE}, r AS (SELECT DISTINCT unnest(regexp_extract_all({_NOURL.format('text')}, '([A-Za-z_][A-Za-z0-9_]*(?:[.:]{{1,2}}[A-Za-z_][A-Za-z0-9_]*)+)', 1)) AS t FROM issue UNION SELECT namespace || '.' || name FROM sym WHERE length(namespace) > 0 AND symbol_id IN (SELECT src_symbol_id FROM unresolved_ref)),
+        p AS (SELECT t, string_split(regexp_replace(t, '[.:]+', '.', 'g'), '.') AS p FROM r), m AS (SELECT p.t AS query_id, s.symbol_id, s.is_test, coalesce({_INSIDE} = p.p[-2], FALSE) AS own FROM p JOIN sym s ON s.name = p.p[-1]),
+        found AS (SELECT query_id, symbol_id, CASE WHEN own THEN 'member' ELSE 'name' END AS way, 0 AS o, is_test FROM (SELECT *, bool_or(own) OVER (PARTITION BY query_id) AS anyone FROM m) WHERE own OR NOT anyone) {_PLACED}""",
+    "search_names_paths": f"""WITH {SYM}, t AS (SELECT DISTINCT lower(name) AS term FROM library_symbol UNION SELECT lower(string_split(name, '_')[-1]) FROM library_symbol), w AS (SELECT symbol_id, unnest(list_distinct(list_concat([lower(name)], {_split('name')}))) AS term FROM sym),
+        fp AS (SELECT DISTINCT file_id, regexp_replace(file_id, '^[^:]*:', '') AS path FROM sym WHERE file_id IS NOT NULL), fw AS (SELECT file_id, unnest(list_distinct({_split('path')})) AS term FROM fp), u AS (SELECT term, 'symbol' AS kind, symbol_id AS id FROM w SEMI JOIN t USING (term) UNION SELECT term, 'file', file_id FROM fw SEMI JOIN t USING (term))
+        SELECT term, kind, id, place FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY kind DESC, id) AS place FROM u) WHERE place <= 50""",
+    "index_stats": f"WITH {SYM}, {_CENSUS} SELECT repo_id, sum(symbols) AS symbols, CAST(to_json(list({{'language': language, 'files': files, 'indexed': indexed}} ORDER BY language, files, indexed)) AS VARCHAR) AS stats FROM census GROUP BY repo_id",
+    "coverage_gaps": f"""WITH sel AS (WITH {R._SCORED} SELECT task_id, symbol_id, repo_id FROM ranked WHERE rank <= 20), n AS (SELECT task_id, count(*) AS n FROM sel GROUP BY task_id), rt AS (SELECT DISTINCT task_id FROM ({R.ORACLE['related_tests']})), ic AS ({INDEX_SQL['index_coverage']}),
+        po AS (SELECT task_id, list_sort(list(DISTINCT repo_id))[1:3] AS u FROM sel WHERE repo_id IN (SELECT repo_id FROM ic WHERE status = 'unsupported') GROUP BY task_id), x AS (SELECT n.task_id, n.n >= 20 AS truncated, rt.task_id IS NULL AS missing_tests, coalesce(array_to_string(po.u, ','), '') AS unsupported FROM n LEFT JOIN rt USING (task_id) LEFT JOIN po USING (task_id))
+        SELECT *, CASE WHEN truncated OR missing_tests OR unsupported <> '' THEN 'partial' ELSE 'complete' END AS state FROM x""",
+    "selector_questions": f"SELECT task_id, file_id, CAST(to_json({{'best_score': best_score, 'file_id': file_id, 'n_symbols': n_symbols, 'names': names, 'pos': pos}}) AS VARCHAR) AS question FROM ({R.ORACLE['files_summary']})",
+    "render_compact": f"""WITH RECURSIVE {SYM}, {R._SCORED}, l AS (SELECT r.task_id, r.rank AS slot, '- ' || coalesce(s.name, r.symbol_id) || ' (' || coalesce(r.file_id, '?') || ':' || coalesce(CAST(s.line AS VARCHAR), '?') || ')' AS t FROM ranked r LEFT JOIN sym s USING (symbol_id) WHERE r.rank <= 20),
+        md AS (SELECT DISTINCT task_id, 0 AS slot, '' AS markdown, 0 AS shown, 0 AS left_out FROM l UNION ALL SELECT l.task_id, l.slot, CASE WHEN length(m.markdown) + length(l.t) + 1 <= 1200 THEN m.markdown || l.t || chr(10) ELSE m.markdown END,
+          m.shown + CAST(length(m.markdown) + length(l.t) + 1 <= 1200 AS INTEGER), m.left_out + CAST(length(m.markdown) + length(l.t) + 1 > 1200 AS INTEGER) FROM md m JOIN l ON l.task_id = m.task_id AND l.slot = m.slot + 1)
+        SELECT task_id, markdown, shown, left_out FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY slot DESC) AS k FROM md) WHERE k = 1""",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.operators import anchors, candidates, evaluation, expand, graph, indexing, pack, search
 from graphloom.plans.graph_queries import _CAND, EDGE, SYM, edge, sym
-from graphloom.plans.search_queries import _ISSUE, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues, phrase_pairs
+from graphloom.plans.search_queries import _FILE, _ISSUE, _MENTION, _NAMED, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues, named_paths, phrase_pairs
 from graphloom.session import checkpointed, spread
 from graphloom.tables import live_nodes, read, row_rank
 
@@ -38,9 +38,9 @@ def _task_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchors_path(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of the files a text names."""
+    """Symbols of the files that texts and reports name."""
     files = live_nodes(read(spark, d, "graph_node"), "File").select(F.col("node_id").alias("file_id"))
-    mentions = file_mentions(spark, d)
+    mentions = named_paths(spark, d)
     return anchors.path(mentions, search.files_by_suffix(files, mentions.select(F.col("path").alias("suffix")).distinct()), sym(spark, d))
 
 
@@ -119,7 +119,9 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assemble_budget(spark: SparkSession, d: str) -> DataFrame:
-    return pack.assembled(_items(spark, d))
+    """The first K by score fitted into the budget."""
+    s = sym(spark, d).select("symbol_id", "name", "signature", "docstring", "body", "line")
+    return pack.assembled(_selected(spark, d).select("task_id", "slot", "symbol_id", "graph_distance", "file_id").join(s, "symbol_id", "left").withColumn("tier", F.lit("full")))
 
 
 def files_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -240,6 +242,10 @@ _SCORED = _C + """, t AS (SELECT *, CASE WHEN coalesce(anchor, FALSE) AND coales
     + 2.0::DOUBLE * CASE lower(kind) WHEN 'method' THEN 1.0 WHEN 'function' THEN 1.0 WHEN 'interface' THEN 0.4 WHEN 'protocol' THEN 0.4 WHEN 'trait' THEN 0.4 WHEN 'constructor' THEN 0.4 ELSE 0.5 END::DOUBLE
     + coalesce(CASE WHEN semantic_rank >= 0 THEN 1.0::DOUBLE / (1 + semantic_rank) END, 0) + least(ln(1 + greatest(coalesce(churn, 0), 0)) / ln(21), 1), 6) AS score FROM w),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, symbol_id) AS rank FROM scored)"""
+_ITEM = """item AS (SELECT r.task_id, r.rank AS slot, r.symbol_id, coalesce(r.graph_distance, 3) AS d, coalesce(s.name, r.symbol_id) AS shown, s.signature, s.docstring, s.body, r.file_id, s.line FROM ranked r LEFT JOIN sym s USING (symbol_id) WHERE r.rank <= 20),
+  txt AS (SELECT *, shown || coalesce(signature, '') || CASE WHEN length(docstring) > 0 THEN chr(10) || docstring ELSE '' END AS sig, shown || ' @ ' || coalesce(file_id, '') || ':' || coalesce(CAST(line AS VARCHAR), '') AS ref FROM item),
+  cost AS (SELECT task_id, slot, symbol_id, CASE WHEN d >= 3 THEN 'reference' WHEN d = 2 THEN 'signature' ELSE 'full' END AS level, greatest(1, ceil(length(ref) / 4))::INTEGER AS least,
+    greatest(1, ceil(length(CASE WHEN d >= 3 THEN ref WHEN d = 2 OR coalesce(length(body), 0) = 0 THEN sig ELSE body END) / 4))::INTEGER AS tokens FROM txt)"""
 _STRONG = "strong AS (SELECT task_id, symbol_id, coalesce(anchor_strength, 1.0) AS strength FROM cand WHERE anchor)"
 _IMPACT = """root AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY strength DESC, symbol_id) AS k FROM strong WHERE strength >= 0.9) WHERE k <= 5),
   used AS (SELECT DISTINCT e.dst_id AS symbol_id, e.src_id AS user_id FROM edge e JOIN sym s ON s.symbol_id = e.src_id AND NOT s.is_test WHERE e.label IN ('CALLS', 'REFERENCES') AND e.src_id <> e.dst_id),
@@ -281,6 +287,10 @@ ORACLE = {
     "scope_filtered_rank": f"WITH {_SCORED}, scope AS (SELECT DISTINCT task_id, repo_id FROM cand WHERE anchor) SELECT s.task_id, s.symbol_id, s.score, row_number() OVER (PARTITION BY s.task_id ORDER BY s.score DESC, s.symbol_id) AS rank FROM scored s JOIN scope USING (task_id, repo_id)",
     "files_summary": f"""WITH {SYM}, {_SCORED}, sel AS (SELECT r.*, s.name FROM ranked r LEFT JOIN sym s USING (symbol_id) WHERE r.rank <= 20 AND r.file_id IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY task_id, file_id ORDER BY score DESC, symbol_id) AS k FROM sel),
         g AS (SELECT task_id, file_id, min(rank) AS first, count(*) AS n_symbols, max(score) AS best_score, coalesce(string_agg(name, ',' ORDER BY k) FILTER (WHERE k <= 6), '') AS names FROM o GROUP BY task_id, file_id) SELECT task_id, file_id, row_number() OVER (PARTITION BY task_id ORDER BY first, file_id) AS pos, n_symbols, best_score, names FROM g""",
+    "assemble_budget": f"""WITH RECURSIVE {SYM}, {_SCORED}, {_ITEM}, pack AS (SELECT DISTINCT task_id, 0 AS slot, NULL::VARCHAR AS symbol_id, NULL::VARCHAR AS detail_level, 0 AS tokens, 0 AS used FROM cost
+        UNION ALL SELECT c.task_id, c.slot, c.symbol_id, CASE WHEN p.used + c.tokens <= 1500 THEN c.level WHEN p.used + c.least <= 1500 THEN 'reference' END, CASE WHEN p.used + c.tokens <= 1500 THEN c.tokens WHEN p.used + c.least <= 1500 THEN c.least ELSE 0 END,
+          p.used + CASE WHEN p.used + c.tokens <= 1500 THEN c.tokens WHEN p.used + c.least <= 1500 THEN c.least ELSE 0 END FROM pack p JOIN cost c ON c.task_id = p.task_id AND c.slot = p.slot + 1)
+        SELECT task_id, slot, symbol_id, detail_level, tokens FROM pack WHERE detail_level IS NOT NULL""",
     "identifier_gaps": f"WITH {SYM}, {_REFS}, g AS (SELECT DISTINCT task_id, name FROM refs WHERE length(name) >= 4 AND name NOT IN (SELECT name FROM sym WHERE name IS NOT NULL)) SELECT task_id, name FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY name) AS k FROM g) WHERE k <= 5",
     "pinned_files": f"WITH {SYM}, {_REFS}, d AS (SELECT DISTINCT name, file_id FROM sym WHERE file_id IS NOT NULL), f AS (SELECT name FROM d GROUP BY name HAVING count(*) <= 4) SELECT DISTINCT r.task_id, d.file_id FROM refs r JOIN f USING (name) JOIN d USING (name) WHERE length(r.name) >= 4",
     "cube_report": f"WITH {_SCORED} SELECT coalesce(kind, '*') AS kind, coalesce(provenance, '*') AS provenance, count(*) AS n, round(avg(score), 4) AS mean_score FROM (SELECT coalesce(kind, '?') AS kind, coalesce(provenance, '?') AS provenance, score FROM scored) GROUP BY CUBE (kind, provenance)",
@@ -335,3 +345,6 @@ _COVERAGE = f"""WITH {SYM}, {EDGE}, {_SCORED}, {_STRONG}, {_SEMANTIC}, {_IMPACT}
 ORACLE["coverage_metrics"] = f"{_COVERAGE} SELECT * FROM conf"
 ORACLE["confidence_level"] = f"{_COVERAGE} SELECT confidence, count(*) AS n_tasks FROM conf GROUP BY confidence"
 ORACLE["metrics_recall_mrr"] = f"SELECT k, count(*) AS n_tasks, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1, round(avg(reciprocal_rank), 6) AS reciprocal_rank, round(avg(hit::INTEGER), 6) AS hit_rate FROM ({ORACLE['metrics_at_k']}) GROUP BY k"
+ORACLE["anchors_path"] = f"""WITH {SYM}, {_FILE}, {_ISSUE}, {_MENTION}, {_NAMED}, s AS (SELECT DISTINCT task_id, lower(path) AS suffix FROM named), f AS (SELECT DISTINCT s.suffix, f.file_id FROM file f JOIN s ON lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix)),
+  n AS (SELECT *, count(*) OVER (PARTITION BY suffix) AS n FROM f), b AS (SELECT * FROM (SELECT s.task_id, n.file_id, n.n, row_number() OVER (PARTITION BY s.task_id, n.file_id ORDER BY length(s.suffix) DESC, n.n) AS k FROM s JOIN n USING (suffix) WHERE n.n <= 4) WHERE k = 1)
+  SELECT b.task_id, y.symbol_id, max(round(0.85::DOUBLE / b.n, 6)) AS strength FROM b JOIN sym y USING (file_id) GROUP BY b.task_id, y.symbol_id"""

@@ -134,8 +134,14 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return live_nodes(read(spark, d, "graph_node"), "File").select(F.col("node_id").alias("file_id"))
 
 
+def named_paths(spark: SparkSession, d: str) -> DataFrame:
+    """(task_id, path): files that issue texts name, and those of unresolved references by folder and name, as a report would write them."""
+    refs = read(spark, d, "unresolved_ref").select(F.col("ref_id").alias("task_id"), F.regexp_extract("file_id", r"([^/]+/[^/]+)$", 1).alias("path"))
+    return file_mentions(spark, d).unionByName(refs.where(F.length("path") > 0)).distinct()
+
+
 def _mentioned(spark: SparkSession, d: str) -> DataFrame:
-    return file_mentions(spark, d).select(F.col("path").alias("suffix")).distinct()
+    return named_paths(spark, d).select(F.col("path").alias("suffix")).distinct()
 
 
 def path_suffix_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +153,8 @@ def missing_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directory_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return search.directory_neighbours(_files(spark, d))
+    """Scanned files that share a folder."""
+    return search.directory_neighbours(read(spark, d, "source_file").select("file_id").distinct())
 
 
 def basename_wildcard(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +162,7 @@ def basename_wildcard(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d)
     name = F.element_at(F.split("file_id", "/"), -1)
     word = F.regexp_extract(name, r"^([a-z]+|[A-Z][a-z]+)", 1)
-    patterns = f.select(F.concat(F.lower(word), F.lit("*"), F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("pattern")).where(F.length("pattern") > 5).distinct()
+    patterns = f.select(F.concat(F.lower(word), F.lit("*"), F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("pattern"), F.length(word).alias("n")).where("n > 0").select("pattern").distinct()
     return search.basename_matches(f, patterns)
 
 
@@ -250,6 +257,7 @@ _HITS = """term AS (SELECT DISTINCT term FROM content), dict AS (SELECT DISTINCT
 _TESTPATH = "(regexp_matches({0}, '(?i)(^|/)(test|tests|__tests__|spec|specs|testing|e2e|fixtures)/') OR regexp_matches({0}, '(^|/)(test_[^/]*|[^/]*_test(\\.[a-z]+)?|[^/]*\\.(test|spec)\\.[a-z]+|[^/]*(Test|Tests|Spec|Specs)\\.(java|cs|kt|scala|php|rb)|conftest\\.py)$'))"
 _FILE = "file AS (SELECT node_id AS file_id, regexp_replace(node_id, '^[^:]*:', '') AS path FROM node WHERE label = 'File')"
 _MENTION = f"""mention AS (SELECT DISTINCT task_id, regexp_replace(path, '^[./]+', '') AS path FROM (SELECT task_id, unnest(regexp_extract_all(replace({_NOURL.format('text')}, '\\', '/'), '(?:^|[^\\p{{L}}\\p{{N}}_/.-])((?:\\.{{0,2}}/)?(?:[\\w.-]+/)*[\\w-]+\\.(?:pyi|py|tsx|ts|jsx|js|mjs|cjs|go|java|kt|cs|rb|rs|php|swift|cpp|cc|hpp|c|h|scala|sql))(?:[^\\w/]|$)', 1)) AS path FROM issue))"""
+_NAMED = "named AS (SELECT task_id, path FROM mention UNION SELECT ref_id, regexp_extract(file_id, '([^/]+/[^/]+)$', 1) FROM unresolved_ref WHERE regexp_extract(file_id, '([^/]+/[^/]+)$', 1) <> '')"
 _VEC = "v AS (SELECT vec_id, vec_id % (count(*) OVER () // 2) AS ref_id, vec_id // (count(*) OVER () // 2) AS chunk, embedding::DOUBLE[] AS e, label FROM embeddings)"
 
 ORACLE = {
@@ -288,9 +296,12 @@ ORACLE = {
         f AS (SELECT symbol_id, unnest(l) AS literal, unnest(range(len(l))) AS i FROM b), u AS (SELECT symbol_id, literal, min(i) AS i FROM f GROUP BY ALL), want AS (SELECT DISTINCT literal FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY i) AS r FROM u) WHERE r <= 12),
         q AS (SELECT symbol_id, unnest(list_distinct(list_concat(regexp_extract_all(coalesce(search_text, ''), '"([^"\\n]{{3,80}})"', 1), regexp_extract_all(coalesce(search_text, ''), '\'\'([^\'\'\\n]{{3,80}})\'\'', 1)))) AS literal FROM sym WHERE NOT is_test),
         h AS (SELECT literal, symbol_id, count(*) OVER (PARTITION BY literal) AS n FROM q SEMI JOIN want USING (literal)) SELECT literal, symbol_id, n FROM h WHERE n < 60""",
-    "path_suffix_lookup": f"""WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, s AS (SELECT DISTINCT lower(path) AS suffix FROM mention), f AS (SELECT s.suffix, f.file_id FROM file f JOIN s ON lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix)) SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY suffix) AS n FROM f) WHERE n <= 8""",
-    "missing_paths": f"WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, s AS (SELECT DISTINCT lower(path) AS suffix FROM mention) SELECT suffix FROM s WHERE NOT EXISTS (SELECT 1 FROM file f WHERE lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix))",
-    "directory_neighbours": f"WITH {NODE}, {_FILE}, f AS (SELECT file_id, regexp_replace(file_id, '/[^/]*$', '') AS folder FROM file), k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM f) WHERE n <= 60) SELECT a.file_id, b.file_id AS neighbour_id FROM k a JOIN k b ON a.folder = b.folder AND a.file_id <> b.file_id",
+    "file_mentions": f"WITH {_ISSUE}, {_MENTION} SELECT task_id, path FROM mention",
+    "basename_wildcard": f"""WITH {NODE}, {_FILE}, n AS (SELECT file_id, string_split(path, '/')[-1] AS name FROM file), p AS (SELECT DISTINCT lower(w) AS word, lower(e) AS ext, lower(w) || '*' || e AS pattern FROM (SELECT regexp_extract(name, '^([a-z]+|[A-Z][a-z]+)', 1) AS w, regexp_extract(name, '(\\.[^.]*)$', 1) AS e FROM n) WHERE w <> ''),
+        h AS (SELECT DISTINCT p.pattern, n.file_id FROM p JOIN n ON starts_with(lower(n.name), p.word) AND ends_with(lower(n.name), p.ext) AND length(n.name) >= length(p.word) + length(p.ext)) SELECT pattern, file_id FROM (SELECT *, count(*) OVER (PARTITION BY pattern) AS k FROM h) WHERE k <= 8""",
+    "path_suffix_lookup": f"""WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, {_NAMED}, s AS (SELECT DISTINCT lower(path) AS suffix FROM named), f AS (SELECT s.suffix, f.file_id FROM file f JOIN s ON lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix)) SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY suffix) AS n FROM f) WHERE n <= 8""",
+    "missing_paths": f"WITH {NODE}, {_FILE}, {_ISSUE}, {_MENTION}, {_NAMED}, s AS (SELECT DISTINCT lower(path) AS suffix FROM named) SELECT suffix FROM s WHERE NOT EXISTS (SELECT 1 FROM file f WHERE lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix))",
+    "directory_neighbours": f"WITH f AS (SELECT DISTINCT file_id, regexp_replace(file_id, '/[^/]*$', '') AS folder FROM source_file), k AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY folder) AS n FROM f) WHERE n <= 60) SELECT a.file_id, b.file_id AS neighbour_id FROM k a JOIN k b ON a.folder = b.folder AND a.file_id <> b.file_id",
     "knn_cosine": """WITH d AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS distance FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM d) WHERE rank <= 10""",
     "knn_filtered": """WITH d AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS distance FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 100 = 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.functions import text as T
 from graphloom.operators.heavy_keys import salted_join
+from graphloom.session import checkpointed
 from graphloom.tables import row_rank
 
 #: Weight of a posting by the part of the symbol it stands in.
@@ -87,16 +88,21 @@ def phrase_hits(index: DataFrame, task_phrases: DataFrame, limit: int = S.LEXICA
     with fewer symbols is looked up first, so a common word costs one row a symbol and is never expanded by phrase.
     """
     words = F.split("phrase", " ")
-    pairs = task_phrases.select("phrase").distinct().select("phrase", words[0].alias("a"), words[1].alias("b"))
+    pairs = task_phrases.select("phrase").distinct().select(F.xxhash64("phrase").alias("p"), words[0].alias("a"), words[1].alias("b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
     holds = salted_join(index, prefix_matches(index, wanted), "token", ["symbol_id"]).select("term", "symbol_id").distinct()
-    size = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    sized = pairs.join(size.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
+    holds = checkpointed(holds.select(F.xxhash64("term").alias("t"), F.xxhash64("symbol_id").alias("s"), "symbol_id"))  # numbers travel in place of words
+    size = holds.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.select("p", F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    sized = pairs.join(size.select(F.col("t").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("t").alias("b"), F.col("n").alias("nb")), "b")
     first = F.col("na") <= F.col("nb")
-    driven = sized.select("phrase", F.when(first, F.col("a")).otherwise(F.col("b")).alias("term"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
-    both = driven.join(holds, "term").select("phrase", F.col("other").alias("term"), "symbol_id").join(holds, ["term", "symbol_id"], "left_semi")
-    rare = both.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < limit).select("phrase")
-    return task_phrases.select("task_id", "phrase").distinct().join(both.join(rare, "phrase"), "phrase").groupBy("task_id", "symbol_id").agg(F.count(F.lit(1)).alias("n"))
+    driven = sized.select("p", F.when(first, F.col("a")).otherwise(F.col("b")).alias("t"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("o"))
+    numbers = holds.select("t", "s")
+    both = salted_join(driven, numbers, "t", ["p"]).select("p", F.col("o").alias("t"), "s").join(numbers, ["t", "s"], "left_semi").select("p", "s")
+    both = checkpointed(both)
+    rare = both.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < limit).select("p")
+    hits = task_phrases.select("task_id", F.xxhash64("phrase").alias("p")).distinct().join(both.join(rare, "p"), "p").groupBy("task_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(holds.select("s", "symbol_id").distinct(), "s").select("task_id", "symbol_id", "n")
 
 
 def lexical_anchors(hits: DataFrame, task_terms: DataFrame, phrases: DataFrame | None = None) -> DataFrame:

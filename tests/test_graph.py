@@ -101,3 +101,18 @@ def test_walk_from_a_hub_matches_brute_force(spark):
             seen |= front
             want |= {(f"r{i}", a): depth for a in front}
     assert got == want
+
+
+def test_files_that_go_with_an_anchors_file(spark):
+    """Families of names, then names of one folder that share a word; tests and the anchor's own file are left out."""
+    from graphloom.operators import expand, lookup
+
+    schema = "symbol_id string, file_id string, kind string, line int"
+    files = ["a/read_order_row.py", "b/write_order_row.py", "a/read_badge.py", "a/test_read_badge.py", "c/other.py"]
+    s = spark.createDataFrame([(f"s{i}{k}", f"r:{f}", "class" if k else "function", 9 - k) for i, f in enumerate(files) for k in (0, 1)], schema)
+    walked = spark.createDataFrame([("t", "s00", 0.9), ("u", "s40", 0.5)], "task_id string, symbol_id string, strength double")
+    got = {(r["task_id"], r["symbol_id"]): (r["rule"], r["strength"]) for r in expand.sibling_files(walked, s).collect()}
+    assert got == {("t", f"s1{k}"): ("family", round(0.9 * 0.6 * 0.8, 6)) for k in (0, 1)} | {("t", f"s2{k}"): ("folder", round(0.9 * 0.6 * 0.8, 6)) for k in (0, 1)}
+    imports = spark.createDataFrame([("b/write_order_row", "r:c/other.py"), ("x", "r:c/other.py"), ("x", "r:x.py")], "module string, file_id string")
+    modules = spark.createDataFrame([("b/write_order_row", "r:b/write_order_row.py"), ("x", "r:x.py")], "module string, file_id string")
+    assert sorted(map(tuple, lookup.file_importers(imports, modules).collect())) == [("r:b/write_order_row.py", "r:c/other.py"), ("r:x.py", "r:c/other.py")]

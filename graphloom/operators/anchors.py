@@ -12,6 +12,8 @@ from graphloom.tables import row_rank
 #: Most matches of a name that can all be meant, and of a qualified name whose container isn't there.
 EXPLICIT_MOST, FALLBACK_MOST = 8, 3
 USAGE_POOL, IMPACT_LEAST, IMPACT_ROOTS = 60, 0.9, 5
+#: Literals of a task's roots in all, the part of the pool that may quote one, and signs of the shortest path of a route.
+LITERALS, LITERAL_SHARE, ROUTE_LEAST = 40, 4, 4
 
 
 def references_of(tasks: DataFrame) -> DataFrame:
@@ -98,6 +100,43 @@ def impact(strong: DataFrame, edges: DataFrame, symbols: DataFrame, pool: int =
     return hit.select("task_id", "symbol_id", F.round(F.least(1 - F.exp("l"), F.lit(S.SOURCE_CAP["impact"])), 6).alias("strength"))
 
 
+def shared_literals(strong: DataFrame, symbols: DataFrame, mentions, pool: int = USAGE_POOL) -> DataFrame:
+    """(task_id, symbol_id, strength): symbols that quote a namespaced literal of one of a task's strongest symbols.
+
+    The first twelve literals of each of the five roots, the stronger root's first, forty a task; one that only a single symbol
+    quotes couples nothing, one that a quarter of ``pool`` or more quote is a convention. ``mentions``: the look-up of
+    literals in symbols, (symbols, literals, limit) to (literal, symbol_id, n).
+    """
+    limit = max(2, -(-pool // LITERAL_SHARE))
+    roots = strong.where(F.col("strength") >= IMPACT_LEAST).select("task_id", "symbol_id", "strength", row_rank(["task_id"], [F.col("strength").desc(), F.col("symbol_id")])).where(F.col("rank") <= IMPACT_ROOTS)
+    own = roots.join(symbols.select("symbol_id", T.body_literals(F.col("body")).alias("l")), "symbol_id").select("task_id", F.col("symbol_id").alias("root_id"), "strength", "rank", F.posexplode("l").alias("p", "literal"))
+    first = own.groupBy("task_id", "literal").agg(F.min(F.struct("rank", "p", "strength", "root_id")).alias("f")).select("task_id", "literal", "f.*")
+    kept = first.select("*", row_rank(["task_id"], [F.col("rank"), F.col("p")], "k")).where(F.col("k") <= LITERALS)
+    found = mentions(symbols, kept.select("literal").distinct(), limit).where("n > 1")
+    hit = kept.join(found, "literal").where(F.col("symbol_id") != F.col("root_id"))
+    s = S.SOURCE_CAP["impact"] * F.col("strength") * F.sqrt(1 - F.col("n") / limit)
+    total = hit.groupBy("task_id", "symbol_id").agg(F.sum(F.log(1 - s)).alias("l"))
+    return total.select("task_id", "symbol_id", F.round(F.least(1 - F.exp("l"), F.lit(S.SOURCE_CAP["impact"])), 6).alias("strength"))
+
+
+def corroborated(generic: DataFrame, found: DataFrame) -> DataFrame:
+    """(task_id, symbol_id, strength) of names too common to be meant that another source names too; they count as source ``name``."""
+    return generic.join(found.select("task_id", "symbol_id").distinct(), ["task_id", "symbol_id"], "left_semi")
+
+
+def route(tasks: DataFrame, routes: DataFrame) -> DataFrame:
+    """(task_id, symbol_id, strength): handlers of routes (path, handler_id) that hold a path of a text, in whole segments, at full strength.
+
+    Every run of a route's segments is a key, so that paths are found by equality; a single short segment is no path.
+    """
+    text = T.without_urls(F.col("text"))
+    named = tasks.select("task_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|[\s\"'`(])((?:/[A-Za-z0-9_{}:-]+)+)"), F.lit(1)))).alias("part")).where(F.length("part") >= ROUTE_LEAST)
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.concat(F.lit("/"), F.array_join(F.slice(parts, i, j - i + 1), "/")))))
+    keys = routes.where(F.col("handler_id").isNotNull() & (F.size(parts) > 0)).select(F.col("handler_id").alias("symbol_id"), F.explode(F.array_distinct(runs)).alias("part"))
+    return named.join(keys, "part").select("task_id", "symbol_id", F.lit(1.0).alias("strength")).distinct()
+
+
 def noisy_or(evidence: DataFrame) -> DataFrame:
     """(task_id, symbol_id, strength, sources): sources folded as independent evidence, in their fixed order.
 

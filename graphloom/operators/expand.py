@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom import schema as S
 from graphloom.operators.candidates import is_container
-from graphloom.operators.graph import DIRECTIONS
+from graphloom.operators.graph import DIRECTIONS, mass_factors, ppr
 from graphloom.operators.heavy_keys import salted_join
+from graphloom.session import checkpointed
 from graphloom.tables import row_rank
 
 ROOT_LEAST, ROOTS, SIBLING_LEAST, SIBLINGS, FILE_SCALE = 0.3, 20, 0.7, 12, 0.8
@@ -94,6 +95,22 @@ def expanded(anchors: DataFrame, edges: DataFrame, symbols: DataFrame, with_file
     return live.select("task_id", "symbol_id", "distance", "is_anchor", "anchor_strength", "source_strength", F.col("k.ref_kind").alias("ref_kind"), F.col("p.provenance").alias("provenance"))
 
 
+def by_mass(pool: DataFrame, anchors: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pool`` (see ``expanded``) with the evidence of its neighbours scaled by the mass that the walked anchors send them.
+
+    The walked graph holds the edges between an anchor that is walked from and other candidates of its task. Anchors keep their
+    strength, evidence stays at most 1.
+    """
+    walked = roots(anchors)
+    ends = edges.select(F.col("src_id").alias("symbol_id"), F.col("dst_id").alias("b")).unionByName(edges.select(F.col("dst_id").alias("symbol_id"), F.col("src_id").alias("b"))).distinct()
+    links = salted_join(ends, walked.select("task_id", "symbol_id"), "symbol_id", ["b"]).join(pool.select("task_id", F.col("symbol_id").alias("b")), ["task_id", "b"], "left_semi")
+    nodes = pool.select("task_id", "symbol_id").join(walked, ["task_id", "symbol_id"], "left").select("task_id", "symbol_id", F.coalesce("strength", F.lit(0.0)).alias("seed"))
+    mass = ppr(nodes, checkpointed(links.select("task_id", F.col("symbol_id").alias("a"), "b")))
+    factors = mass_factors(mass, pool.where(~F.col("is_anchor")).select("task_id", "symbol_id", F.col("source_strength").alias("strength")))
+    scaled = F.round(F.least(F.col("source_strength") * F.coalesce("factor", F.lit(1.0)), F.lit(1.0)), 6)
+    return pool.join(factors, ["task_id", "symbol_id"], "left").withColumn("source_strength", scaled).drop("factor")
+
+
 def featured(found: DataFrame, symbols: DataFrame, degree: DataFrame, leaf: DataFrame, churn: DataFrame, tasks: DataFrame) -> DataFrame:
     """Expanded symbols with all features of a candidate, ready for scoring. Files without history have churn 0."""
     from graphloom.functions import text as T

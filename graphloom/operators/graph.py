@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.heavy_keys import heavy_keys, salted_join
 from graphloom.session import checkpointed
+from graphloom.tables import row_rank
 
 #: Directions of a typed neighbour join: edge labels, the side that is given, the side that is found.
 DIRECTIONS = {
@@ -82,8 +83,6 @@ def walk(edges: DataFrame, roots: DataFrame, hops: int, steps: list[tuple[str, s
         fresh = reached.join(visited.select("root_id", "symbol_id"), ["root_id", "symbol_id"], "left_anti")
         fresh = fresh.select("root_id", "symbol_id", F.lit(depth).alias("depth"), F.substring("step", 2, 100).alias("via"))
         if keep:
-            from graphloom.tables import row_rank
-
             fresh = fresh.select("*", row_rank(["root_id"], [F.col("symbol_id")], "_r")).where(F.col("_r") <= keep).drop("_r")
         frontier = checkpointed(fresh)
         visited = visited.unionByName(frontier)
@@ -141,3 +140,17 @@ def ppr(nodes: DataFrame, links: DataFrame, iterations: int = 3, restart: float
         flow = both.join(mass.select("task_id", F.col("symbol_id").alias("a"), "mass"), ["task_id", "a"]).join(out, ["task_id", "a"]).groupBy("task_id", F.col("b").alias("symbol_id")).agg(F.sum(F.round(F.col("mass") / F.col("k"), 12)).alias("f"))
         mass = base.join(flow, ["task_id", "symbol_id"], "left").select("task_id", "symbol_id", "p", F.round(restart * F.col("p") + (1 - restart) * F.coalesce("f", F.lit(0.0)), 12).alias("mass"))
     return mass.select("task_id", "symbol_id", "mass")
+
+
+def mass_factors(mass: DataFrame, evidence: DataFrame, gain: float = 0.25, least: float = 2 / 3, most: float = 1.5) -> DataFrame:
+    """(task_id, symbol_id, factor): how much more mass a candidate gets than its best path says, against the task's median.
+
+    ``evidence``: (task_id, symbol_id, strength) of candidates that are no anchors. The upper median of the positive ratios is
+    1; each doubling adds ``gain``; without mass the factor is ``least``. Tasks without any positive ratio have none.
+    """
+    x = evidence.where(F.col("strength") > 0).join(mass, ["task_id", "symbol_id"]).withColumn("r", F.col("mass") / F.col("strength"))
+    order = x.where("r > 0").select("task_id", "r", row_rank(["task_id"], [F.col("r"), F.col("symbol_id")], "k"))
+    half = order.groupBy("task_id").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("k"))
+    median = order.join(half, ["task_id", "k"]).select("task_id", F.col("r").alias("m"))
+    factor = F.when(F.col("r") > 0, F.least(F.greatest(1 + gain * F.log2(F.col("r") / F.col("m")), F.lit(least)), F.lit(most))).otherwise(F.lit(least))
+    return x.join(median, "task_id").select("task_id", "symbol_id", F.round(factor, 6).alias("factor"))

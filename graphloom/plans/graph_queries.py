@@ -117,11 +117,19 @@ def ppr_reweight(spark: SparkSession, d: str) -> DataFrame:
     return graph.ppr(nodes, links).select("task_id", "symbol_id", F.round("mass", 6).alias("mass"))
 
 
+def ppr_factors(spark: SparkSession, d: str) -> DataFrame:
+    """How a candidate's mass changes its evidence."""
+    from graphloom.operators.candidates import candidate_state
+
+    rows = candidate_state(read(spark, d, "candidate")).where(~F.coalesce("anchor", F.lit(False)))
+    return graph.mass_factors(ppr_reweight(spark, d), rows.select("task_id", "symbol_id", F.col("source_strength").alias("strength")))
+
+
 QUERIES = {f"{k}_1hop": _direction(k) for k in graph.DIRECTIONS} | {
     f.__name__: f
     for f in (
         type_hierarchy, find_references_union_routes, repo_of_symbol, degree_all, god_nodes, leaf_flags, counts_by_label, repo_stats, language_histogram,
-        call_graph_2hop, call_graph_5hop, blast_radius_3, impact_dependents_2, dependencies_closure, ppr_reweight,
+        call_graph_2hop, call_graph_5hop, blast_radius_3, impact_dependents_2, dependencies_closure, ppr_reweight, ppr_factors,
     )
 }
 
@@ -185,4 +193,7 @@ ORACLE = {f"{k}_1hop": _neighbour_sql(k) for k in graph.DIRECTIONS} | {
         reach(root, node, depth) USING KEY (root, node) AS (SELECT DISTINCT package, package, 0 FROM library_symbol UNION SELECT r.root, l.dst, r.depth + 1 FROM reach r JOIN link l ON l.src = r.node AND l.src <> l.dst LEFT JOIN recurring.reach k ON k.root = r.root AND k.node = l.dst WHERE k.node IS NULL)
         SELECT root, node, depth FROM reach WHERE depth > 0""",
     "ppr_reweight": _ppr_sql(),
+    "ppr_factors": f"""WITH {_CAND}, x AS (SELECT c.task_id, c.symbol_id, p.mass / c.source_strength AS r FROM cand c JOIN ({_ppr_sql()}) p USING (task_id, symbol_id) WHERE NOT coalesce(c.anchor, FALSE) AND c.source_strength > 0),
+        o AS (SELECT task_id, r, row_number() OVER (PARTITION BY task_id ORDER BY r, symbol_id) AS k, count(*) OVER (PARTITION BY task_id) AS n FROM x WHERE r > 0), m AS (SELECT task_id, r AS m FROM o WHERE k = n // 2 + 1)
+        SELECT task_id, symbol_id, round(CASE WHEN r > 0 THEN least(greatest(1 + 0.25 * log2(r / m), 2 / 3.0::DOUBLE), 1.5) ELSE 2 / 3.0::DOUBLE END, 6) AS factor FROM x JOIN m USING (task_id)""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import schema as S
 from graphloom.operators import anchors, candidates, evaluation, expand, graph, indexing, pack, search
 from graphloom.plans.graph_queries import _CAND, EDGE, SYM, edge, sym
-from graphloom.plans.search_queries import _FILE, _ISSUE, _MENTION, _NAMED, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues, named_paths, phrase_pairs
+from graphloom.plans.search_queries import _FILE, _ISSUE, _MENTION, _NAMED, _NOURL, _STOP, _TESTPATH, _W, _low, content_tokens, file_mentions, issues, named_paths, phrase_pairs, query_terms, semantic_ranks
 from graphloom.session import checkpointed, spread
 from graphloom.tables import live_nodes, read, row_rank
 
@@ -48,6 +48,11 @@ def anchors_semantic(spark: SparkSession, d: str) -> DataFrame:
     return anchors.semantic(cand(spark, d))
 
 
+def anchors_literals(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols that quote a literal of a task's strongest anchors."""
+    return anchors.shared_literals(_strong(spark, d), sym(spark, d), search.mentions_of_literals)
+
+
 def _strong(spark: SparkSession, d: str) -> DataFrame:
     return cand(spark, d).where("anchor").select("task_id", "symbol_id", F.coalesce("anchor_strength", F.lit(1.0)).alias("strength"))
 
@@ -200,22 +205,33 @@ def churn_of(spark: SparkSession, d: str) -> DataFrame:
 def get_context_for_task(spark: SparkSession, d: str) -> DataFrame:
     """The whole retrieval for every issue among the documents: evidence, expansion, score, demotion, selection, packing.
 
-    (task_id, slot, symbol_id, score, detail_level, tokens), one lazy plan for all tasks but for the checkpoints.
+    (task_id, slot, symbol_id, score, detail_level, tokens), one lazy plan for all tasks but for the checkpoints. Evidence comes
+    from explicit names, terms and phrases, usage, paths, the semantic ranks of the hashing encoder, the graph around strong
+    anchors, shared literals, and common names that another source names too. Routes, earlier work on a task and users' scopes have no
+    table here: ``anchors.route``, ``anchors.history`` and ``candidates.scoped`` take theirs from the caller.
     """
-    tasks = spread(checkpointed(issues(spark, d).select("task_id", "text")))
+    tasks = spread(checkpointed(issues(spark, d).select("task_id", "text", "repo_id")))
     s, e = spread(checkpointed(sym(spark, d))), spread(checkpointed(edge(spark, d)))
     words = _task_words(spark, d)
-    terms = spread(checkpointed(content_tokens(spark, d)))
-    index = search.postings(s)
+    terms = spread(checkpointed(query_terms(spark, d)))
+    index = checkpointed(search.postings(s))
     hits, phrases = search.term_hits(index, terms.select("term")), search.phrase_hits(index, phrase_pairs(spark, d))
     mentions = file_mentions(spark, d)
     files = search.files_by_suffix(s.where(F.col("file_id").isNotNull()).select("file_id").distinct(), mentions.select(F.col("path").alias("suffix")).distinct())
-    parts = [("explicit", anchors.explicit(tasks, s)[0]), ("lexical", search.lexical_anchors(hits, terms, phrases)), ("usage", anchors.usage(search.mentions_of_words(s, words), words)), ("path", anchors.path(mentions, files, s))]
+    meant, generic = anchors.explicit(tasks, s)
+    ranks = checkpointed(semantic_ranks(tasks, s, max(30, 2 * K)))
+    semantic = anchors.semantic(ranks.withColumn("is_test", F.lit(False)))
+    parts = [("semantic", semantic), ("explicit", meant), ("lexical", search.lexical_anchors(hits, terms, phrases)), ("usage", anchors.usage(search.mentions_of_words(s, words), words)), ("path", anchors.path(mentions, files, s))]
     found = checkpointed(reduce(DataFrame.unionByName, [x.select("task_id", "symbol_id", F.lit(n).alias("source"), "strength") for n, x in parts]))
-    evidence = found.unionByName(anchors.impact(anchors.noisy_or(found), e, s).select("task_id", "symbol_id", F.lit("impact").alias("source"), "strength"))
-    pool = expand.expanded(checkpointed(anchors.noisy_or(evidence)), e, s)
+    strong = checkpointed(anchors.noisy_or(found))
+    near = anchors.impact(strong, e, s).unionByName(anchors.shared_literals(strong, s, search.mentions_of_literals))
+    more = [("impact", near), ("name", anchors.corroborated(generic, found))]
+    evidence = reduce(DataFrame.unionByName, [found, *[x.select("task_id", "symbol_id", F.lit(n).alias("source"), "strength") for n, x in more]])
+    anchored = checkpointed(anchors.noisy_or(evidence))
+    pool = expand.by_mass(checkpointed(expand.expanded(anchored, e, s)), anchored, e)
     churn = indexing.filled_churn(churn_of(spark, d), s.where(F.col("file_id").isNotNull()))
-    scored = candidates.scored(expand.featured(pool, s, graph.degrees(e), graph.leaf_flags(e, s), churn, tasks))
+    featured = expand.featured(pool, s, graph.degrees(e), graph.leaf_flags(e, s), churn, tasks).drop("semantic_rank").join(ranks, ["task_id", "symbol_id"], "left")
+    scored = candidates.scored(featured)
     ranked = checkpointed(candidates.demoted(scored, 2 * K))
     chosen = candidates.narrowed(ranked.withColumn("task_id", F.col("task_id").cast("string")), K).withColumn("task_id", F.col("task_id").cast("bigint"))
     items = chosen.join(ranked.select("task_id", "symbol_id", "graph_distance", "name", "signature", "docstring", "body", "file_id", "line"), ["task_id", "symbol_id"]).withColumn("tier", F.lit("full"))
@@ -226,7 +242,7 @@ def get_context_for_task(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        anchors_explicit, anchors_usage, anchors_path, anchors_semantic, anchors_impact, anchors_noisy_or, expand_hops, siblings_same_file, sibling_files, candidates_features, score_v4, demote_containers, scope_filtered_rank, narrow_k20,
+        anchors_explicit, anchors_usage, anchors_path, anchors_semantic, anchors_literals, anchors_impact, anchors_noisy_or, expand_hops, siblings_same_file, sibling_files, candidates_features, score_v4, demote_containers, scope_filtered_rank, narrow_k20,
         narrow_jina_guard10, assemble_budget, files_summary, selector_policy, coverage_metrics, confidence_level, related_tests, identifier_gaps, pinned_files, metrics_at_k, metrics_recall_mrr, win_tie_loss, truth_stage_crosstab, cube_report,
         get_context_for_task,
     )
@@ -348,3 +364,10 @@ ORACLE["metrics_recall_mrr"] = f"SELECT k, count(*) AS n_tasks, round(avg(recall
 ORACLE["anchors_path"] = f"""WITH {SYM}, {_FILE}, {_ISSUE}, {_MENTION}, {_NAMED}, s AS (SELECT DISTINCT task_id, lower(path) AS suffix FROM named), f AS (SELECT DISTINCT s.suffix, f.file_id FROM file f JOIN s ON lower(f.path) = s.suffix OR ends_with(lower(f.path), '/' || s.suffix)),
   n AS (SELECT *, count(*) OVER (PARTITION BY suffix) AS n FROM f), b AS (SELECT * FROM (SELECT s.task_id, n.file_id, n.n, row_number() OVER (PARTITION BY s.task_id, n.file_id ORDER BY length(s.suffix) DESC, n.n) AS k FROM s JOIN n USING (suffix) WHERE n.n <= 4) WHERE k = 1)
   SELECT b.task_id, y.symbol_id, max(round(0.85::DOUBLE / b.n, 6)) AS strength FROM b JOIN sym y USING (file_id) GROUP BY b.task_id, y.symbol_id"""
+ORACLE["anchors_literals"] = f"""WITH {SYM}, {_C}, {_STRONG}, rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY strength DESC, symbol_id) AS k FROM strong WHERE strength >= 0.9) WHERE k <= 5),
+  lb AS (SELECT symbol_id, list_filter(list_concat(regexp_extract_all(body, '"([A-Za-z_/][\\w.:/-]{{3,63}})"', 1), regexp_extract_all(body, '\'\'([A-Za-z_/][\\w.:/-]{{3,63}})\'\'', 1)), lambda x: regexp_matches(x, '[-_./:0-9]|[a-z][A-Z]')) AS l FROM sym), lf AS (SELECT symbol_id, unnest(l) AS literal, unnest(range(len(l))) AS i FROM lb),
+  lu AS (SELECT symbol_id, literal, row_number() OVER (PARTITION BY symbol_id ORDER BY min(i)) AS p FROM lf GROUP BY symbol_id, literal), ow AS (SELECT rt.task_id, rt.symbol_id AS root_id, rt.strength, rt.k, lu.p, lu.literal FROM rt JOIN lu USING (symbol_id) WHERE lu.p <= 12),
+  fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id, literal ORDER BY k, p) AS f FROM ow) WHERE f = 1), ke AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY k, p) AS c FROM fi) WHERE c <= 40),
+  q AS (SELECT symbol_id, unnest(list_distinct(list_concat(regexp_extract_all(coalesce(search_text, ''), '"([^"\\n]{{3,80}})"', 1), regexp_extract_all(coalesce(search_text, ''), '\'\'([^\'\'\\n]{{3,80}})\'\'', 1)))) AS literal FROM sym WHERE NOT is_test),
+  me AS (SELECT literal, symbol_id, count(*) OVER (PARTITION BY literal) AS n FROM q) SELECT ke.task_id, me.symbol_id, round(least(1 - exp(sum(ln(1 - 0.7::DOUBLE * ke.strength * sqrt(1 - me.n / 15)))), 0.7), 6) AS strength
+  FROM ke JOIN me USING (literal) WHERE me.n > 1 AND me.n < 15 AND me.symbol_id <> ke.root_id GROUP BY ke.task_id, me.symbol_id"""

@@ -187,6 +187,39 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
     return vector.nearest(rows, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), same=["label"]).drop("chunk")
 
 
+def knn_index(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest ten of the same queries by the index."""
+    e = read(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("ref_id"), F.lit(0).cast("bigint").alias("chunk"), "embedding")
+    return vector.nearest_by_index(rows, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).drop("chunk")
+
+
+def knn_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index held against the exact search."""
+    return vector.recall_of(knn_index(spark, d), knn_cosine(spark, d))
+
+
+def semantic_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The 40 symbols outside tests that are nearest to each issue by hashed words, from four times as many neighbours."""
+    return semantic_ranks(issues(spark, d), sym(spark, d))
+
+
+def semantic_ranks(tasks: DataFrame, symbols: DataFrame, limit: int = 40, encoder=None) -> DataFrame:
+    """(task_id, symbol_id, semantic_rank): ``encoder`` turns texts into vectors; the hashing one needs no model."""
+    encode = encoder or vector.hashing_encoder(64)
+    s = symbols.select(F.xxhash64("symbol_id").alias("ref_id"), "symbol_id", "is_test", encode(F.concat_ws(" ", "name", "signature", "docstring")).alias("embedding"))
+    s = checkpointed(s)
+    hits = vector.nearest(s.select("ref_id", F.lit(0).cast("bigint").alias("chunk"), "embedding"), tasks.select(F.col("task_id").alias("query_id"), encode("text").alias("embedding")), k=4 * limit)
+    return vector.semantic_candidates(hits, s, limit).withColumnRenamed("query_id", "task_id")
+
+
+def similar_code(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols whose code is nearest to that of every symbol whose id's hash is divisible by 100."""
+    encode = vector.hashing_encoder(64)
+    s = checkpointed(sym(spark, d).where(F.length("body") > 0).select(F.xxhash64("symbol_id").alias("ref_id"), F.lit(0).cast("bigint").alias("chunk"), encode("body").alias("embedding")))
+    return vector.nearest(s, s.where("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "embedding"), k=5).drop("chunk")
+
+
 def chunk_collapse(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
     return vector.collapsed(vector.nearest(v.select("ref_id", "chunk", "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k=20))
@@ -223,7 +256,7 @@ QUERIES = {
     for f in (
         resolve_symbol, resolve_symbols_bulk, symbols_in_files, symbols_at_lines, is_test_symbol, conventional_tests, tokens_urls_stripped, split_identifier, content_tokens, query_terms, phrase_pairs, identifier_tokens, qualified_references,
         file_mentions, body_literals, fts_build_postings, fts_prefix_search, fts_search_many_topn, anchors_lexical, body_mentions_ident, body_mentions_literal, path_suffix_lookup, missing_paths, directory_neighbours,
-        basename_wildcard, knn_cosine, knn_filtered, chunk_collapse, hashing_embed, hybrid_search,
+        basename_wildcard, knn_cosine, knn_filtered, knn_index, knn_index_recall, semantic_candidates, similar_code, chunk_collapse, hashing_embed, hybrid_search,
     )
 }
 

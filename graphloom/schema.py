@@ -18,7 +18,7 @@ SATURATION = 20
 GOD_NODE_DEGREE = 20
 
 # Most evidence an anchor source can give, in the order in which sources are folded.
-SOURCE_CAP = {"explicit": 1.0, "path": 0.85, "history": 0.7, "lexical": 0.8, "usage": 0.8, "semantic": 0.9, "impact": 0.7, "name": 1.0}
+SOURCE_CAP = {"explicit": 1.0, "path": 0.85, "history": 0.7, "lexical": 0.8, "usage": 0.8, "semantic": 0.9, "impact": 0.7, "name": 1.0, "route": 1.0}
 HOP_DECAY = 0.6
 SEMANTIC_RANK_SCALE = 30
 # Evidence of a text match by the part of the symbol that matched (name, its parts, container and path, text).

@@ -132,8 +132,10 @@ def ppr(nodes: DataFrame, links: DataFrame, iterations: int = 3, restart: float
     """
     total = nodes.groupBy("task_id").agg(F.sum("seed").alias("_t"))
     base = nodes.join(total, "task_id").select("task_id", "symbol_id", F.round(F.coalesce(F.try_divide("seed", "_t"), F.lit(0.0)), 12).alias("p"))
+    base = checkpointed(base)  # every round reads both again
     both = links.where("a <> b").select("task_id", "a", "b").unionByName(links.where("a <> b").select("task_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = both.join(base.select("task_id", F.col("symbol_id").alias("a")), ["task_id", "a"], "left_semi").join(base.select("task_id", F.col("symbol_id").alias("b")), ["task_id", "b"], "left_semi")
+    both = checkpointed(both)
     out = both.groupBy("task_id", "a").agg(F.count(F.lit(1)).alias("k"))
     mass = base.withColumn("mass", F.col("p"))
     for _ in range(iterations):
@@ -148,7 +150,7 @@ def mass_factors(mass: DataFrame, evidence: DataFrame, gain: float = 0.25, least
     ``evidence``: (task_id, symbol_id, strength) of candidates that are no anchors. The upper median of the positive ratios is
     1; each doubling adds ``gain``; without mass the factor is ``least``. Tasks without any positive ratio have none.
     """
-    x = evidence.where(F.col("strength") > 0).join(mass, ["task_id", "symbol_id"]).withColumn("r", F.col("mass") / F.col("strength"))
+    x = checkpointed(evidence.where(F.col("strength") > 0).join(mass, ["task_id", "symbol_id"]).withColumn("r", F.col("mass") / F.col("strength")))
     order = x.where("r > 0").select("task_id", "r", row_rank(["task_id"], [F.col("r"), F.col("symbol_id")], "k"))
     half = order.groupBy("task_id").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("k"))
     median = order.join(half, ["task_id", "k"]).select("task_id", F.col("r").alias("m"))

@@ -231,7 +231,7 @@ def get_context_for_task(spark: SparkSession, d: str) -> DataFrame:
     pool = expand.by_mass(checkpointed(expand.expanded(anchored, e, s)), anchored, e)
     churn = indexing.filled_churn(churn_of(spark, d), s.where(F.col("file_id").isNotNull()))
     featured = expand.featured(pool, s, graph.degrees(e), graph.leaf_flags(e, s), churn, tasks).drop("semantic_rank").join(ranks, ["task_id", "symbol_id"], "left")
-    scored = candidates.scored(featured)
+    scored = checkpointed(candidates.scored(featured))
     ranked = checkpointed(candidates.demoted(scored, 2 * K))
     chosen = candidates.narrowed(ranked.withColumn("task_id", F.col("task_id").cast("string")), K).withColumn("task_id", F.col("task_id").cast("bigint"))
     items = chosen.join(ranked.select("task_id", "symbol_id", "graph_distance", "name", "signature", "docstring", "body", "file_id", "line"), ["task_id", "symbol_id"]).withColumn("tier", F.lit("full"))

@@ -153,6 +153,18 @@ def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return scan.chunks(items).select("ref_id", "chunk", F.length("content").alias("n_chars"))
 
 
+def full_index(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a first index of the scanned files, by repository and label."""
+    from graphloom.operators import index_job
+    from graphloom.session import scratch_path
+    from graphloom.sources.versioned import VersionedTable
+    from graphloom.tables import read_wide
+
+    table = VersionedTable(spark, scratch_path(spark, "index"))
+    index_job.index(table, read_wide(spark, d, "source_file"))
+    return index_job.nodes(table.rows()).groupBy("repo_id", "label").agg(F.count_distinct("node_id").alias("n_nodes"))
+
+
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return jobs.windowed_counts(read(spark, d, "events"), "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
@@ -161,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         link_refs_priority, link_stats, module_to_file, scip_unambiguous, scip_elevation, bridge_join, note_asof_join, design_notes, hunk_interval_join, churn_last_500, index_census, index_coverage, job_fsm_state, job_claim_oldest,
-        repo_watermark, incremental_merge, delete_file_subgraph, chunk_versions, parse_fragments, snapshot_diff, embed_chunks, event_windows,
+        repo_watermark, incremental_merge, delete_file_subgraph, chunk_versions, parse_fragments, snapshot_diff, embed_chunks, full_index, event_windows,
     )
 }
 

@@ -120,6 +120,14 @@ class VersionedTable:
         df.write.parquet(part)
         return self.commit(Manifest(expected + 1, list_files(self.spark, part), [], self.manifest(expected).processed | processed))
 
+    def exchange(self, gone: DataFrame, df: DataFrame, processed: dict[str, int] | None = None) -> Manifest:
+        """Hides the rows of ``gone`` (``_file``, ``_pos``) and adds those of ``df`` in one commit."""
+        base = self.manifest()
+        part = f"{self.root}/data/{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        vectors = [*base.vectors, self.write_vectors(gone)] if base.files else []
+        return self.commit(Manifest(base.version + 1, sorted({*base.files, *list_files(self.spark, part)}), vectors, base.processed | (processed or {})))
+
     def adopt(self, files: list[str], vectors: list[str] | None = None, processed: dict[str, int] | None = None) -> Manifest:
         """A version of files written elsewhere, which nobody changes any more."""
         base = self.manifest()

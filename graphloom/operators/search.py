@@ -88,6 +88,7 @@ def phrase_hits(index: DataFrame, task_phrases: DataFrame, limit: int = S.LEXICA
     with fewer symbols is looked up first, so a common word costs one row a symbol and is never expanded by phrase.
     """
     words = F.split("phrase", " ")
+    task_phrases = checkpointed(task_phrases.select("task_id", "phrase").distinct())  # read three times
     pairs = task_phrases.select("phrase").distinct().select(F.xxhash64("phrase").alias("p"), words[0].alias("a"), words[1].alias("b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
     holds = salted_join(index, prefix_matches(index, wanted), "token", ["symbol_id"]).select("term", "symbol_id").distinct()

@@ -17,10 +17,11 @@ END = "<end>"
 BRACKETS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
 _OPENING, _CLOSING = list(BRACKETS), list(BRACKETS.values())
 _OPEN = {a: (i, 1) for i, a in enumerate(BRACKETS)} | {b: (i, -1) for i, b in enumerate(BRACKETS.values())}
-#: Steps of the search for one text; beyond it the cost is an upper bound from a greedy reading.
+#: Steps of the search for one text; beyond it the cost is found by spans (``least_cost``), as exactly and for any text.
 WORK = 40_000
-#: Greedy cost from which only a tenth of these steps is spent: such a text is of another kind, and its least cost hardly matters.
+#: Greedy cost from which only a tenth of these steps is spent: such a text is of another kind, and the spans find its cost.
 HOPELESS = 16
+FAR = 10**6
 
 _SYMBOL = re.compile(r"\s*(?:'([^']+)'|(\$?\w+)|([()|?*+]))")
 
@@ -153,7 +154,7 @@ class Grammar:
         return base + finer[0]
 
     def _analyse(self, n: int) -> None:
-        far = 10**6
+        far = FAR
         size = len(self.term)
         self.nullable = [False] * n
         self.least = [far] * n  # tokens of the shortest sentence
@@ -173,6 +174,23 @@ class Grammar:
                 if self.finish[self.start[a]] < self.least[a]:
                     self.least[a], changed = self.finish[self.start[a]], True
         self.nullable = [x == 0 for x in self.least]
+        #: Tokens to insert from a state to a final one, by mode here and there. Mode 1: the loose end was left out, one of ``before`` must follow.
+        self.closing = [[[0 if f and a == b else far for b in (0, 1)] for f in self.final] for a in (0, 1)]
+        changed = True
+        while changed:
+            changed = False
+            for q in range(size):
+                ways = [[[1, self.closing[0][to]] for to in self.term[q].values()], [[1, self.closing[0][to]] for t, to in self.term[q].items() if t in self.before]]
+                if self.loose_end in self.term[q]:
+                    ways[0].append([0, self.closing[1][self.term[q][self.loose_end]]])
+                for a, to in self.calls[q].items():
+                    ways[0] += [[self.closing[0][self.start[a]][m], self.closing[m][to]] for m in (0, 1)]
+                    if self.nullable[a]:
+                        ways[1].append([0, self.closing[1][to]])
+                for m in (0, 1):
+                    best = [min([self.closing[m][q][b], *(x + way[b] for x, way in ways[m])]) for b in (0, 1)]
+                    if best != self.closing[m][q]:
+                        self.closing[m][q], changed = best, True
 
 
 class _ItemSet:
@@ -201,13 +219,14 @@ class SharedChart:
     def __init__(self, grammar: Grammar):
         self.g = grammar
         self.order = self._left_corner_order()
+        self.automaton = None  # of least_cost, made where it is needed
         self._reset()
 
     def _reset(self) -> None:
         self.waiting: list[tuple] = [()]
         self.numbers: dict[frozenset, int] = {frozenset(): 0}
         self.sets: dict[frozenset, _ItemSet] = {}
-        self.least: dict[int, int] = {0: 0}
+        self.least: dict[int, tuple[int, int]] = {0: (0, 0 if END in self.g.before else FAR)}
         self.begin = self._set(frozenset([(self.g.start[0], 0)]), (0,) * len(BRACKETS))
 
     def _left_corner_order(self) -> list[int]:
@@ -302,8 +321,8 @@ class SharedChart:
             at.changes = list(plain.values()), brackets
         return at.changes
 
-    def _left(self, c: int) -> int:
-        """Tokens to insert after an item whose waiters are ``c`` is complete. Waiters are older than what waits for them."""
+    def _left(self, c: int) -> tuple[int, int]:
+        """Tokens to insert after an item whose waiters are ``c`` is complete, in either mode. Waiters are older than what waits for them."""
         todo = [c]
         while todo:
             x = todo[-1]
@@ -314,14 +333,14 @@ class SharedChart:
             if open_:
                 todo += open_
                 continue
-            self.least[x] = min(self.g.finish[q] + self.least[w] for q, w in self.waiting[x])
+            self.least[x] = tuple(min(self.g.closing[m][q][b] + self.least[w][b] for q, w in self.waiting[x] for b in (0, 1)) for m in (0, 1))
             todo.pop()
         return self.least[c]
 
     def completion(self, at: _ItemSet) -> int:
         """The least number of tokens to insert after a column for the text to end."""
         if at.missing is None:
-            at.missing = 0 if at.accepts else min(self.g.finish[q] + self._left(c) for q, c in at.items)
+            at.missing = 0 if at.accepts else min(self.g.closing[0][q][b] + self._left(c)[b] for q, c in at.items for b in (0, 1))
         return at.missing
 
     def accepts(self, tokens: list[str]) -> bool:
@@ -342,7 +361,7 @@ class SharedChart:
 
 @dataclass
 class Repair:
-    """``cost``: edits needed, the least number if ``exact``, else an upper bound; ``places``: token positions of the edits."""
+    """``cost``: edits needed, the least number if ``exact`` (``greedy`` gives an upper bound); ``places``: token positions of the edits."""
 
     cost: int = 0
     places: list[int] = field(default_factory=list)
@@ -350,7 +369,7 @@ class Repair:
 
 
 def repair(chart: SharedChart, tokens: list[str], work: int = WORK) -> Repair:
-    """The cheapest repair of a token sequence: the least number of edits, or an upper bound if that takes more than ``work`` steps.
+    """The cheapest repair of a token sequence: the least number of edits. After ``work`` steps of this search the spans take over.
 
     Ways are explored by their least possible total: edits so far, plus one for each bracket that the rest leaves without
     a partner and for each token that no rule knows. Among ways of one total those that got farthest come first, so the place where
@@ -449,12 +468,19 @@ def repair(chart: SharedChart, tokens: list[str], work: int = WORK) -> Repair:
             if to:
                 arrive(i + 1, to, cost, True, key, None)
         if total not in ends:
+            if stack or edits:  # out of steps: this total is not ruled out
+                break
             total += 1
-    if ends and min(ends) <= upper.cost:
+    if ends and min(ends) <= min(upper.cost, total):
         least = min(ends)
         found = places(n, ends[least])
-        return Repair(least, found + [n] * (least - len(found)), least <= total)
-    return Repair(upper.cost, upper.places, upper.cost <= total)
+        return Repair(least, found + [n] * (least - len(found)))
+    if upper.cost <= total:
+        return Repair(upper.cost, upper.places)
+    from graphloom.llm.least_cost import least_cost
+
+    found = least_cost(chart, tokens)
+    return Repair(len(found), found)
 
 
 def greedy(chart: SharedChart, tokens: list[str]) -> Repair:

@@ -18,7 +18,7 @@ MISMATCH = 0.1
 def judge(path: str | None, source: bytes | str | None) -> tuple[str | None, int, bool, str | None, int | None]:
     """(language, edit cost, exact, cause, line of the first edit) of one file; cost 0 and no cause for a valid one.
 
-    An empty or null source and a suffix of no known language are no fault. A cost that is not ``exact`` is an upper bound.
+    An empty or null source and a suffix of no known language are no fault. Costs are least, so ``exact`` always holds.
     Merge markers tell a conflict; edits at the very end a truncation; a text that another language reads, or of which
     more than a tenth would have to be edited, a mismatch.
     """

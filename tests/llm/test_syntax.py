@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from graphloom.llm.chart import BRACKETS, END, Grammar, SharedChart, repair
+from graphloom.llm.chart import BRACKETS, END, Grammar, SharedChart, greedy, repair
+from graphloom.llm.least_cost import least_cost
 from graphloom.llm.languages import SUFFIXES, grammar, shared_chart, tokenize
 from graphloom.llm.syntax import invalid_files, judge, rates
 
@@ -187,3 +188,30 @@ def test_rows_and_rates(spark, at):
     assert got == {"f1": True, "f2": False, "f3": False}
     assert [(r["n_files"], r["n_invalid"], r["rate"]) for r in rates(df).where("language = 'python'").collect()] == [(2, 1, 0.5)]
     assert invalid_files(df.limit(0)).count() == 0
+
+
+def test_costs_by_spans_are_least_and_beyond_the_search():
+    """Texts that the search gives up get their least cost by spans, with as many edits named; a left-out end counts nothing."""
+    text = "s = item*\nitem = 'x' ';' | '{' item* '}' | '(' expr ')' ';' | '#' 'x' '+' expr item\nexpr = 'x' ('+' 'x')* opt\nopt = '!'?"
+    rng = random.Random(3)
+    for loose in ((), (";", ("}", END))):
+        g, alphabet = Grammar(text, *loose), ["x", ";", "{", "}", "(", ")", "+", "#", "!"]
+        shared = SharedChart(g)
+        for k in range(60):
+            t = [rng.choice([*alphabet, "ERR"]) for _ in range(rng.randint(1, 4) if k < 20 else rng.randint(5, 14))]
+            found, got = least_cost(shared, t), repair(shared, t, 10**9)
+            assert got.exact and len(found) == got.cost == repair(shared, t, 0).cost and all(0 <= x <= len(t) for x in found), (t, found, got)
+            if k < 20:
+                want = brute(g, t, alphabet, 2)
+                assert len(found) == want or want == 3 <= len(found), (t, found, want)
+    long = [rng.choice(["{", ")", "+", "x", "("]) for _ in range(330)]
+    assert len(least_cost(shared, long)) > 127  # in wider numbers
+
+
+def test_a_text_of_another_kind_has_an_exact_cost():
+    other = "Dear all,\n\nplease find (below the minutes of [our meeting; it was long.\n- coffee, 3 cups }\n* tea: none!\nRegards\n" * 3
+    for path in VALID:
+        tokens, _ = tokenize(judge(path, b"")[0], other, path)
+        _, cost, exact, _, _ = judge(path, other)
+        assert exact and 0 < cost <= greedy(shared_chart(judge(path, b"")[0]), tokens).cost, path
+    assert judge("a.js", "function f() { x")[1:3] == (1, True)  # '}' alone: the ';' before it may be left out

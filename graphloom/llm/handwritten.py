@@ -1,7 +1,7 @@
 """Generated, minified, vendored and data files told apart from hand-written source.
 
 A linear support vector machine on hashed character n-grams (of the text, and of its leading comments) and path
-components scores every file, and its score decides. It is fitted on a bounded sample whose labels come from giveaways:
+components scores every file, and its score decides. It is fitted on all files, whose labels come from giveaways:
 tool headers, package folders, generated suffixes, layout, copies of released files. Giveaway headers are masked in a
 share of the training files, so that the machine also learns what such files look like without them; repositories are
 split between training and validation, and the threshold is fixed on the latter. Inside the machine's margin, where it
@@ -11,10 +11,10 @@ found no clear answer, an exact check follows: a tool header or a copy of a rele
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,12 +24,16 @@ from graphloom.llm.languages import language_of
 from graphloom.operators.heavy_keys import salted_pair
 from graphloom.session import checkpointed
 
-#: Labelled files that train the machine, at most, a quarter of them positive; the files with the least hashes are taken.
+#: Files whose vectors lie in one block of the training table, about; all of them train the machine.
 TRAINING_FILES = 4800
-#: Files among which they are looked for, at most: a class rarer than an eighth of it trains with fewer.
-LABELLED_FILES = 9600
-#: Released files that train the machine as positive examples besides, at most, those with the least hashes.
-RELEASED_FILES = 400
+#: Files that are packed into one row of it at most.
+PACKED_FILES = 256
+#: Fitting ends where the slope has fallen to this share of its first value.
+SLOPE = 1e-3
+#: Steps that the search for the minimum remembers.
+REMEMBERED = 10
+#: Parts of 1 in which slopes are summed, so that their sum depends on no order.
+PARTS = 2.0**40
 #: Share of the positive training files whose leading comments are masked, in percent.
 MASKED = 25
 #: Hashed dimensions: a machine is one vector of this length.
@@ -174,42 +178,122 @@ class Machine:
         return float(self.weights[keys] @ values + self.bias)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, c: float = 4.0, seed: int = SEED) -> Machine:
-    """A linear support vector machine by dual coordinate descent (hinge loss, cost ``c``, both classes weighted alike)."""
-    rng = np.random.default_rng(seed)
-    w, n = np.zeros(DIMENSIONS + 1), len(rows)
-    positives = max(1, sum(y > 0 for *_, y in rows))
-    cost = {1: c * n / (2 * positives), -1: c * n / (2 * max(1, n - positives))}
-    alpha = np.zeros(n)
-    data = []
-    for k, v, y in rows:  # repeated dimensions are added up
-        own, inverse = np.unique(np.append(k.astype(np.int32), DIMENSIONS), return_inverse=True)
-        data.append((own.astype(np.int32), np.bincount(inverse, weights=np.append(v, 1.0)).astype(np.float32), y))
-    squares = [float(v @ v) for _, v, _ in data]
-    for _ in range(epochs):
-        for i in rng.permutation(n):
-            k, v, y = data[i]
-            gradient = y * float(w[k] @ v) - 1
-            new = min(max(alpha[i] - gradient / squares[i], 0.0), cost[y])
-            if new != alpha[i]:
-                w[k] += (new - alpha[i]) * y * v
-                alpha[i] = new
-    return Machine(w[:-1], float(w[-1]))
+def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dimensions, values, first place of each file) of files one after another; a file without features has one of value 0."""
+    found = [x if len(x[0]) else (np.zeros(1), np.zeros(1)) for x in found]
+    size = np.array([len(k) for k, _ in found])
+    return np.concatenate([k for k, _ in found]).astype(np.uint16), np.concatenate([v for _, v in found]).astype(np.float32), (np.cumsum(size) - size).astype(np.int32)
 
 
-def threshold(scores: np.ndarray, y: np.ndarray, share: float) -> float:
-    """The score above which fewest files are judged wrongly where ``share`` of them are positive; of equal ones the nearest to 0.
+def slopes(rows: list[tuple[np.ndarray, tuple]], weights: np.ndarray, costs: np.ndarray, wanted: set[int]) -> np.ndarray:
+    """(machine, DIMENSIONS + 2): the slope of the wanted machines over the rows, the loss last, in whole ``PARTS``.
 
-    Only scores inside the inner half of the margin are tried; without both classes it is 0.
+    A row is (side of its files for each machine: 1, -1 or, if they don't train that one, 0; ``packed`` files). The loss of a file is
+    the square of what it lacks to the margin, times the machine's cost of that side (``costs``: positive, negative).
+    """
+    out = np.zeros((len(weights), DIMENSIONS + 2))
+    for side, (keys, v, at) in rows:
+        k, size = keys.astype(np.intp), np.diff(at, append=len(keys))
+        for m in wanted:
+            if y := int(side[m]):
+                w, cost = weights[m], costs[m, 0 if y > 0 else 1]
+                lack = np.maximum(0.0, 1 - y * (np.add.reduceat(w[k] * v, at) + w[DIMENSIONS]))
+                on = lack > 0
+                if on.any():
+                    each, part = np.repeat(on, size), -2 * y * cost * lack[on]
+                    out[m, :DIMENSIONS] += np.bincount(k[each], weights=np.rint(np.repeat(part * PARTS, size[on]) * v[each]), minlength=DIMENSIONS)
+                    out[m, DIMENSIONS] += np.rint(part * PARTS).sum()
+                    out[m, -1] += np.rint(cost * lack[on] ** 2 * PARTS).sum()
+    return out
+
+
+def minimised(loss: Callable[[np.ndarray, set[int]], np.ndarray], sizes: np.ndarray) -> list[Machine]:
+    """Linear support vector machines that minimise |w|^2 / 2n plus their losses, all by the same passes over the rows.
+
+    ``loss``: as ``slopes`` of all rows at some weights for some machines; ``sizes``: rows n that train each. Steps follow the slopes and how they
+    changed before (limited-memory BFGS), and are halved until the value falls enough.
     """
+    machines = range(len(sizes))
+    w = np.zeros((len(sizes), DIMENSIONS + 1))
+    at = lambda x, wanted: [(f[-1] / PARTS + x[m] @ x[m] / (2 * sizes[m]), f[:-1] / PARTS + x[m] / sizes[m]) for m, f in enumerate(loss(x, wanted))]
+    now = at(w, set(machines))
+    first = [np.linalg.norm(g) for _, g in now]
+    past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in machines]
+    step, way = [1.0] * len(sizes), [None] * len(sizes)
+    open_ = {m for m in machines if first[m] > 0}
+    while open_:
+        tried = w.copy()
+        for m in open_:
+            if way[m] is None:
+                way[m], step[m] = _direction(now[m][1], past[m]), 1.0
+            tried[m] += step[m] * way[m]
+        found = at(tried, open_)
+        for m in sorted(open_):
+            if found[m][0] <= now[m][0] + 1e-4 * step[m] * float(now[m][1] @ way[m]):
+                past[m] = [*past[m], (tried[m] - w[m], found[m][1] - now[m][1])][-REMEMBERED:]
+                w[m], now[m], way[m] = tried[m], found[m], None
+                if np.linalg.norm(now[m][1]) <= SLOPE * first[m]:
+                    open_.discard(m)
+            elif step[m] < 1e-9:  # as low as the parts tell
+                open_.discard(m)
+            else:
+                step[m] /= 2
+    return [Machine(x[:-1], float(x[-1])) for x in w]
+
+
+def _direction(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Down the slope, bent by the remembered steps and changes of slope."""
+    d, shares = -slope, []
+    for s, y in reversed(past):
+        shares.append(float(s @ d) / float(s @ y))
+        d = d - shares[-1] * y
+    if past:
+        s, y = past[-1]
+        d = d * (float(s @ y) / float(y @ y))
+    for (s, y), a in zip(past, reversed(shares)):
+        d = d + (a - float(y @ d) / float(s @ y)) * s
+    return d
+
+
+def cost_of(positive: int, negative: int, c: float = 4.0) -> list[float]:
+    """Cost of a row of either side, for the mean over all: both sides weigh alike."""
+    return [c / (2 * max(1, positive)), c / (2 * max(1, negative))]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Machine:
+    """A linear support vector machine of rows at hand."""
+    positive = sum(y > 0 for *_, y in rows)
+    costs, own = np.array([cost_of(positive, len(rows) - positive)]), [(np.array([y]), packed([(k, v)])) for k, v, y in rows]
+    return minimised(lambda w, wanted: slopes(own, w, costs, wanted), np.array([len(rows)]))[0]
+
+
+_TRIED = np.round(np.arange(-0.5, 0.501, 0.05) * MARGIN, 6)
+
+
+def errors(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positive files, negative files, then for each tried threshold the positive ones up to it and the negative ones above."""
     positive, negative = scores[y > 0], scores[y < 0]
-    if not len(positive) or not len(negative):
+    return np.array([len(positive), len(negative), *(np.sum(positive <= t) for t in _TRIED), *(np.sum(negative > t) for t in _TRIED)], np.int64)
+
+
+def least_errors(counts: np.ndarray, share: float) -> float:
+    """The tried score above which fewest files are judged wrongly where ``share`` of them are positive; of equal ones the nearest to 0.
+
+    ``counts``: of ``errors``. Only scores inside the inner half of the margin are tried; without both classes it is 0.
+    """
+    positive, negative = (int(x) for x in counts[:2])
+    if not positive or not negative:
         return 0.0
-    tried = np.round(np.arange(-0.5, 0.501, 0.05) * MARGIN, 6)
-    wrong = [(share * float(np.mean(positive <= t)) + (1 - share) * float(np.mean(negative > t)), abs(t), t) for t in tried]
+    missed, wrongly = counts[2 : 2 + len(_TRIED)], counts[2 + len(_TRIED) :]
+    wrong = [(share * int(a) / positive + (1 - share) * int(b) / negative, abs(t), t) for a, b, t in zip(missed, wrongly, _TRIED)]
     return float(min(wrong)[2])
 
 
+def threshold(scores: np.ndarray, y: np.ndarray, share: float) -> float:
+    """``least_errors`` of scores at hand."""
+    return least_errors(errors(scores, y), share)
+
+
 def held_out(repo_id: str | None) -> bool:
     return xxhash.xxh64_intdigest(repo_id or "") % 100 < HELD_OUT
 
@@ -241,27 +325,68 @@ def copied_shares(files: DataFrame, released: DataFrame) -> DataFrame:
     return shared.groupBy("file_id").agg(F.max(F.col("c") / F.col("n")).alias("copied"))
 
 
-def labelled(rows: DataFrame, released: DataFrame) -> DataFrame:
-    """(file_id, label) of files by their giveaways; of repeated scans the latest counts."""
+def _latest(rows: DataFrame, released: DataFrame) -> DataFrame:
+    """(file_id, repo_id, path, source, copied) of the latest scan of every file."""
 
     def lines(batches):
         for b in batches:
             own = [sorted(line_hashes(clean(s))) for s in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(own, pa.list_(pa.int64()))], ["file_id", "scanned_at", "lines"])
 
-    def describe(batches):
-        for b in batches:
-            path, source, share = (b.column(i).to_pylist() for i in (1, 2, 3))
-            texts = [clean(s) for s in source]
-            found = [weak_label(p, t, c) if t.strip() else None for p, t, c in zip(path, texts, share)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["file_id", "label"])
-
     when = rows.schema["scanned_at"].dataType.simpleString()
     own = rows.select("file_id", "scanned_at", "path", "source").mapInArrow(lines, f"file_id string, scanned_at {when}, lines array<bigint>")
     own = checkpointed(own.groupBy("file_id").agg(F.max(F.struct("scanned_at", "lines")).alias("s")).select("file_id", "s.lines"))
-    last = rows.groupBy("file_id").agg(F.max(F.struct("scanned_at", "path", "source")).alias("s")).select("file_id", "s.path", "s.source")
-    joined = last.join(copied_shares(own, released), "file_id", "left").select("file_id", "path", "source", F.coalesce("copied", F.lit(0.0)).alias("copied"))
-    return joined.mapInArrow(describe, "file_id string, label string")
+    last = rows.groupBy("file_id").agg(F.max(F.struct("scanned_at", "path", "source", "repo_id")).alias("s")).select("file_id", "s.repo_id", "s.path", "s.source")
+    return last.join(copied_shares(own, released), "file_id", "left").select("file_id", "repo_id", "path", "source", F.coalesce("copied", F.lit(0.0)).alias("copied"))
+
+
+def _label(path: str, source: bytes | str | None, copied: float) -> str | None:
+    text = clean(source)
+    return weak_label(path, text, copied) if text.strip() else None
+
+
+def labelled(rows: DataFrame, released: DataFrame) -> DataFrame:
+    """(file_id, label) of files by their giveaways; of repeated scans the latest counts."""
+
+    def describe(batches):
+        for b in batches:
+            path, source, share = (b.column(i).to_pylist() for i in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_label, path, source, share), pa.string())], ["file_id", "label"])
+
+    return _latest(rows, released).mapInArrow(describe, "file_id string, label string")
+
+
+def training_table(rows: DataFrame, upstream: DataFrame, released: DataFrame) -> DataFrame:
+    """(label, unseen, released, n, k, v, at): the vectors of all files and released files, of a share of the positive files without leading comments.
+
+    A row packs ``n`` files of one label. Of repeated scans the latest counts. ``unseen``: the repositories are held out. The table is
+    written once, in blocks of about ``TRAINING_FILES`` files.
+    """
+    schema, names = "label string, unseen boolean, released boolean, n bigint, k binary, v binary, at binary", ["label", "unseen", "released", "n", "k", "v", "at"]
+
+    def batch(groups: dict[tuple, list]) -> pa.RecordBatch:
+        own = [(*key, len(found), *(x.tobytes() for x in packed(found))) for key, found in groups.items()]
+        kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], t) for i, t in enumerate(kinds)], names)
+
+    def files(batches):
+        for whole in batches:
+            for b in (whole.slice(i, PACKED_FILES) for i in range(0, whole.num_rows, PACKED_FILES)):
+                groups: dict[tuple, list] = {}
+                for i, repo, path, source, share in zip(*(x.to_pylist() for x in b.columns)):
+                    label = _label(path, source, share)
+                    masked = label is not None and xxhash.xxh64_intdigest(i, SEED) % 100 < MASKED
+                    groups.setdefault((label, held_out(repo), False), []).append(features(path, clean(source), masked))
+                yield batch(groups)
+
+    def releases(batches):
+        for whole in batches:
+            for b in (whole.slice(i, PACKED_FILES) for i in range(0, whole.num_rows, PACKED_FILES)):
+                yield batch({("vendored", False, True): [features(None, clean(s)) for s in b.column(0).to_pylist()]})
+
+    spark, n = rows.sparkSession, rows.count() // TRAINING_FILES + 1
+    table = _latest(rows, released).mapInArrow(files, schema).union(upstream.where(F.col("upstream_id").isNotNull()).select("source").mapInArrow(releases, schema))
+    return checkpointed(table.repartition(max(n, spark.sparkContext.defaultParallelism)))
 
 
 def _cleaned(files: DataFrame) -> DataFrame:
@@ -278,44 +403,59 @@ class Fitted:
     n_train: int
 
 
+def _summed(table: DataFrame, of: Callable, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of ``of(rows)`` over a training table, a row as (label, packed files); beyond a few tasks they add up among themselves first."""
+
+    def added(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            for label, k, v, at in zip(b.column(0).to_pylist(), *b.columns[1:]):
+                own = (np.frombuffer(x.as_buffer(), t) for x, t in ((k, np.uint16), (v, np.float32), (at, np.int32)))
+                total += of([(label, tuple(own))])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
+    parts = table.select("label", "k", "v", "at").mapInArrow(added, "g binary").rdd.map(lambda r: np.frombuffer(r["g"]))
+    return parts.treeReduce(lambda a, b: a + b, 1 if parts.getNumPartitions() <= 32 else 2).reshape(shape)
+
+
 def fitted(rows: DataFrame, upstream: DataFrame, released: DataFrame) -> Fitted:
-    """The machine for ``rows``, from at most ``TRAINING_FILES`` labelled files and ``RELEASED_FILES`` released ones.
+    """The machine for ``rows``, from all of them and all released files.
 
     Files of held-out repositories train nothing and fix the threshold. Without labelled files of both classes every
     score is -1, so that nothing is found.
     """
-    spark = rows.sparkSession
-    some = rows.select("file_id").distinct().orderBy(F.xxhash64("file_id", F.lit(SEED)), F.col("file_id")).limit(LABELLED_FILES)
-    sample = checkpointed(rows.join(F.broadcast(some), "file_id").select(*rows.columns))  # at most LABELLED_FILES ids
-    labels = {r["file_id"]: r["label"] for r in labelled(sample, released).collect()}  # ids and labels only
-    ordered = sorted(labels, key=lambda i: (xxhash.xxh64_intdigest(i), i))
-    chosen = [i for i in ordered if labels[i]][: TRAINING_FILES // 4] + [i for i in ordered if not labels[i]][: TRAINING_FILES - TRAINING_FILES // 4]
-    names = spark.createDataFrame([(i, bool(labels[i]) and xxhash.xxh64_intdigest(i, SEED) % 100 < MASKED) for i in chosen], "file_id string, masked boolean")
-
-    def vectors(pdf_iter):
-        for pdf in pdf_iter:
-            f = [features(p, clean(s), m) for p, s, m in zip(pdf["path"], pdf["source"], pdf["masked"])]
-            yield pd.DataFrame({"repo_id": pdf["repo_id"], "file_id": pdf["file_id"], "k": [x[0].astype(np.uint16).tobytes() for x in f], "v": [x[1].astype(np.float32).tobytes() for x in f]})
-
-    def numbers(r) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(r["k"], np.uint16), np.frombuffer(r["v"], np.float32)
-
-    vector = "repo_id string, file_id string, k binary, v binary"
-    read = sample.join(F.broadcast(names), "file_id").select("file_id", "repo_id", "path", "source", "masked").mapInPandas(vectors, vector)  # at most TRAINING_FILES ids
-    data = {r["file_id"]: (r["repo_id"], *numbers(r)) for r in read.collect()}  # at most TRAINING_FILES
-    releases = upstream.where(F.col("upstream_id").isNotNull()).orderBy(F.xxhash64("upstream_id", F.lit(SEED)), "upstream_id").limit(RELEASED_FILES)
-    releases = releases.select(F.col("upstream_id").cast("string").alias("file_id"), F.lit(None).cast("string").alias("repo_id"), F.lit(None).cast("string").alias("path"), "source", F.lit(False).alias("masked"))
-    copies = {r["file_id"]: numbers(r) for r in releases.mapInPandas(vectors, vector).collect()}  # at most RELEASED_FILES
-    fit = [(k, v, labels[i]) for i in sorted(data) for repo, k, v in [data[i]] if not held_out(repo)]
-    if not any(x[2] for x in fit) or all(x[2] for x in fit):
-        return Fitted(Machine(np.zeros(DIMENSIONS), -1.0), {}, 0.0, len(fit))
-    fit += [(*copies[i], "vendored") for i in sorted(copies)]
-    machine = train([(k, v, 1 if label else -1) for k, v, label in fit])
-    found = [x for x in fit if x[2]]
-    kinds = {kind: train([(k, v, 1 if label == kind else -1) for k, v, label in found]) for kind in KINDS if any(x[2] == kind for x in found)}
-    unseen = [(machine.score(k, v), 1 if labels[i] else -1) for i in sorted(data) for repo, k, v in [data[i]] if held_out(repo)]
-    at = threshold(np.array([x for x, _ in unseen]), np.array([y for _, y in unseen]), sum(map(bool, labels.values())) / len(labels))
-    return Fitted(machine, kinds, at, len(fit))
+    table = training_table(rows, upstream, released)
+    counts = {(r["label"], r["unseen"], r["released"]): r["count"] for r in table.groupBy("label", "unseen", "released").agg(F.sum("n").alias("count")).collect()}  # at most 20 rows
+    of = lambda f: sum(x for k, x in counts.items() if f(*k))
+    own = of(lambda label, unseen, release: not unseen and not release)
+    positive = of(lambda label, unseen, release: not unseen and not release and label)
+    if not positive or positive == own:
+        return Fitted(Machine(np.zeros(DIMENSIONS), -1.0), {}, 0.0, own)
+    by = {kind: of(lambda label, unseen, release, kind=kind: not unseen and label == kind) for kind in KINDS}
+    kinds = [k for k in KINDS if by[k]]
+    found = sum(by.values())
+    costs = np.array([cost_of(found, own - positive), *(cost_of(by[k], found - by[k]) for k in kinds)])
+    sides = {k: np.array([1, *(1 if k == x else -1 for x in kinds)]) for k in kinds} | {None: np.array([-1, *(0 for _ in kinds)])}
+    context, fit = rows.sparkSession.sparkContext, table.where("not unseen")
+
+    def loss(weights: np.ndarray, wanted: set[int]) -> np.ndarray:
+        sent = context.broadcast(weights)  # five vectors of DIMENSIONS floats
+        try:
+            return _summed(fit, lambda x: slopes([(sides[label], own) for label, own in x], sent.value, costs, wanted), (len(weights), DIMENSIONS + 2))
+        finally:
+            sent.destroy()
+
+    machine, *others = minimised(loss, np.array([found + own - positive, *(found for _ in kinds)]))
+    single = context.broadcast(machine.weights)
+    bias = machine.bias
+
+    def judge(x: list) -> np.ndarray:
+        return sum(errors(np.add.reduceat(single.value[k] * v, at) + bias, np.full(len(at), 1 if label else -1)) for label, (k, v, at) in x)
+
+    counted = _summed(table.where("unseen"), judge, (2 + 2 * len(_TRIED),))
+    everything = of(lambda label, unseen, release: not release)
+    share = of(lambda label, unseen, release: not release and label) / everything
+    return Fitted(machine, dict(zip(kinds, others)), least_errors(counted, share), found + own - positive)
 
 
 def judged(files: DataFrame, upstream: DataFrame) -> tuple[DataFrame, Fitted]:

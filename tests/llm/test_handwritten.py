@@ -123,3 +123,36 @@ def test_copies_equal_brute_force_where_one_line_is_everywhere(spark, at):
 def test_empty_tables(spark):
     out, fit = H.judged(spark.createDataFrame([], FILE), spark.createDataFrame([], UP))
     assert out.count() == 0 and fit.n_train == 0
+
+
+def test_all_files_train_whatever_the_blocks(spark, at, monkeypatch):
+    """Every file outside held-out repositories and every release trains; blocks and the order of sums change no bit."""
+    files, up = table(spark, at)
+    rows, released = H._cleaned(files), H.released_lines(up)
+    first = H.fitted(rows, up, released)
+    monkeypatch.setattr(H, "TRAINING_FILES", 16)
+    monkeypatch.setattr(H, "PACKED_FILES", 7)
+    second = H.fitted(rows, up, released)
+    own = {r["file_id"]: r["repo_id"] for r in rows.collect()}
+    assert first.n_train == second.n_train == 1 + sum(not H.held_out(x) for x in own.values())
+    assert (first.machine.weights == second.machine.weights).all() and first.machine.bias == second.machine.bias and first.threshold == second.threshold
+    table_ = H.training_table(rows, up, released)
+    assert sum(r["n"] for r in table_.where("unseen").collect()) == sum(H.held_out(x) for x in own.values())
+
+
+def test_the_fit_is_the_minimum():
+    """No slope is left beyond the tolerance, and steps to any side raise the value."""
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(*H.features("a.py", code(rng) if i % 3 else f"K = {i}\n" * 30), 1 if i % 3 == 0 else -1) for i in range(60)]
+    m = H.train(rows)
+    costs, own = np.array([H.cost_of(20, 40)]), [(np.array([y]), H.packed([(k, v)])) for k, v, y in rows]
+
+    def value(w):
+        return H.slopes(own, w[None], costs, {0})[0, -1] / H.PARTS + w @ w / 120
+
+    best = np.append(m.weights, m.bias)
+    assert value(best) < 0.1 * value(np.zeros(H.DIMENSIONS + 1))
+    for scale in (0.5, 0.8, 1.25, 2.0):
+        assert value(best) < value(scale * best)

@@ -1,8 +1,11 @@
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
+from graphloom.llm import least_cost as by_spans
 from graphloom.llm.chart import BRACKETS, END, Grammar, SharedChart, greedy, repair
 from graphloom.llm.least_cost import least_cost
 from graphloom.llm.languages import SUFFIXES, grammar, shared_chart, tokenize
@@ -215,3 +218,33 @@ def test_a_text_of_another_kind_has_an_exact_cost():
         _, cost, exact, _, _ = judge(path, other)
         assert exact and 0 < cost <= greedy(shared_chart(judge(path, b"")[0]), tokens).cost, path
     assert judge("a.js", "function f() { x")[1:3] == (1, True)  # '}' alone: the ';' before it may be left out
+
+
+def test_spans_of_a_long_text_do_not_fill_the_memory(monkeypatch):
+    """Beyond ``HELD`` bytes the costs of spans lie in a file; a cost over 127 needs no wider numbers where the tokens tell of it."""
+    chart, tokens = shared_chart("python"), ["ID", "ID", "BOP"] * 100
+    want = least_cost(chart, tokens)
+    monkeypatch.setattr(by_spans, "HELD", 100_000, raising=False)
+    tracemalloc.start()
+    found = least_cost(chart, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == want and peak < 4_000_000, peak
+
+
+def test_costs_by_spans_hang_on_no_size(monkeypatch):
+    """Lengths made together, pieces and kinds of numbers change nothing; broken stretches cost an edit each at least."""
+    rng = random.Random(4)
+    for language in ("python", "javascript"):
+        chart = shared_chart(language)
+        alphabet = sorted(chart.g.tokens)
+        for n in (1, 2, 15, 16, 17, 33, 50):
+            tokens = [rng.choice([*alphabet[:12], "ID", "ID", "ERR"]) for _ in range(n)]
+            want = least_cost(chart, tokens)
+            assert chart.automaton.broken(tokens).sum() <= len(want)
+            for group, piece, limits in ((1, 64, by_spans.LIMITS), (3, 4096, by_spans.LIMITS[1:]), (16, 256, ((9, np.uint8), by_spans.LIMITS[2]))):
+                with monkeypatch.context() as m:
+                    m.setattr(by_spans, "GROUP", group)
+                    m.setattr(by_spans, "PIECE", piece)
+                    m.setattr(by_spans, "LIMITS", limits)
+                    assert len(least_cost(chart, tokens)) == len(want), (language, tokens, group)
